@@ -4,7 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import common, simhash
+from . import chat, common, simhash
+
+
+def op1_chat(spark, sf_dir):
+    own = spark.sql(
+        "select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
+    )
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    formatted, _ = common.save(chat.format_conversations(rows), "chat")
+    return chat.digests(chat.read_back(formatted))
+
+
+OP1_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + 2 * length(regexp_replace(text, '[^\[<]', '', 'g')) AS text_chars,
+    length(role) + length(regexp_replace(role, '[^\\]', '', 'g')) + 2 * length(regexp_replace(role, '[^\[<]', '', 'g')) AS role_chars,
+    CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS opens
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id,
+  CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(text_chars) + sum(CASE WHEN opens = 1 THEN role_chars + 10 ELSE 3 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
 
 
 def op5_simhash(spark, sf_dir):
@@ -16,5 +46,5 @@ def op5_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {"op5_simhash": op5_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_chat": op1_chat, "op5_simhash": op5_simhash}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL}
