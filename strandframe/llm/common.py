@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Stand-ins for rows whose id is null start here; real ids are assumed to be smaller.
 NO_ID = 1 << 62
+#: Stands for a null id inside Python stages.
+NULL_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,15 @@ def drop(spark: SparkSession, *uris: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) for Python stages: null ids become NULL_ID, as pandas would turn a column of longs with nulls into doubles."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+
+
+def unkeyed(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return df.withColumn(id_col, F.when(F.col(id_col) != NULL_ID, F.col(id_col)))
+
+
 def open_fs(uri: str):
     """(pyarrow filesystem, path) of a URI; works on executors for file, hdfs, s3, gs and abfs URIs."""
     from pyarrow import fs

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, common, simhash
+from . import bpe, chat, common, packing, simhash, tokenstore
 
 
 def op1_chat(spark, sf_dir):
@@ -37,6 +38,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), radius=4, shingle=4)
     return found.select(
@@ -46,5 +51,14 @@ def op5_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_chat": op1_chat, "op5_simhash": op5_simhash}
+def op6_bpe(spark, sf_dir):
+    return bpe.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_tokens(spark, sf_dir):
+    store = tokenstore.write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenstore.read_digests(store)
+
+
+QUERIES = {"op1_chat": op1_chat, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_tokens": op9_tokens}
 ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL}

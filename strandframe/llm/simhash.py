@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fp})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    return common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, "id long, fp long"), "id")
 
 
 # --- the index --------------------------------------------------------------------------------------
