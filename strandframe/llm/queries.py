@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, packing, simhash, tokenstore
+from . import bpe, chat, common, media, packing, simhash, tokenstore, warc
 
 
 def op1_chat(spark, sf_dir):
@@ -38,6 +38,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op2_media(spark, sf_dir):
+    return media.read(media.store(common.table(spark, sf_dir, "documents")))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -55,10 +59,14 @@ def op6_bpe(spark, sf_dir):
     return bpe.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark, sf_dir):
+    return warc.read(warc.write(common.table(spark, sf_dir, "pages")))
+
+
 def op9_tokens(spark, sf_dir):
     store = tokenstore.write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return tokenstore.read_digests(store)
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_tokens": op9_tokens}
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op8_warc": op8_warc, "op9_tokens": op9_tokens}
 ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL}
