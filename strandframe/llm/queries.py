@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, media, packing, simhash, tokenstore, warc
+from . import bpe, chat, common, langid, media, packing, simhash, tokenstore, warc
 
 
 def op1_chat(spark, sf_dir):
@@ -42,6 +42,11 @@ def op2_media(spark, sf_dir):
     return media.read(media.store(common.table(spark, sf_dir, "documents")))
 
 
+def op3_langid(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -68,5 +73,5 @@ def op9_tokens(spark, sf_dir):
     return tokenstore.read_digests(store)
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op8_warc": op8_warc, "op9_tokens": op9_tokens}
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op8_warc": op8_warc, "op9_tokens": op9_tokens}
 ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL}
