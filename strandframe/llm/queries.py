@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, langid, media, packing, simhash, tokenstore, warc
+from . import bpe, chat, common, embed, langid, media, packing, simhash, tokenstore, warc
 
 
 def op1_chat(spark, sf_dir):
@@ -64,6 +64,11 @@ def op6_bpe(spark, sf_dir):
     return bpe.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_embeddings(spark, sf_dir):
+    found = embed.near_duplicates(common.table(spark, sf_dir, "embeddings"), 0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op8_warc(spark, sf_dir):
     return warc.read(warc.write(common.table(spark, sf_dir, "pages")))
 
@@ -73,5 +78,5 @@ def op9_tokens(spark, sf_dir):
     return tokenstore.read_digests(store)
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op8_warc": op8_warc, "op9_tokens": op9_tokens}
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_warc": op8_warc, "op9_tokens": op9_tokens}
 ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL}
