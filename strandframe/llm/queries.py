@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, embed, langid, media, packing, simhash, tokenstore, warc
+from . import bpe, chat, common, embed, langid, media, packing, pii, simhash, tokenstore, warc
 
 
 def op1_chat(spark, sf_dir):
@@ -78,5 +78,10 @@ def op9_tokens(spark, sf_dir):
     return tokenstore.read_digests(store)
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_warc": op8_warc, "op9_tokens": op9_tokens}
+def op10_pii(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_warc": op8_warc, "op9_tokens": op9_tokens, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL}
