@@ -284,3 +284,17 @@ def predict(docs: DataFrame, model: Model, words: bool = False, id_col: str = "d
     schema = "doc_id long, lang_pred string, score double" + (", words array<string>" if words else "")
     found = common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, schema))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", *(["words"] if words else []))
+
+
+def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The same rows and columns with lang_pred and lang_score beside them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, lang_score double")
+    def label(texts: pd.Series) -> pd.DataFrame:
+        own, rows = _labeller(0, shared), texts.tolist()
+        got = [g for lo in range(0, len(rows), 500) for g in own.predict(rows[lo : lo + 500])]
+        return pd.DataFrame(got, columns=["lang_pred", "lang_score"])
+
+    found = docs.withColumn("_found", label(F.col(text_col)))
+    return found.select(*docs.columns, "_found.lang_pred", "_found.lang_score")
