@@ -62,7 +62,7 @@ def kmers(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     valid = at - last_bad
     fore, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     c = np.where(good, code, 0).astype(np.uint64)
-    for j in range(k):  # the base j places before the end
+    for j in range(min(k, n)):  # the base j places before the end
         fore[j:] |= c[: n - j] << np.uint64(2 * j)
         back[j:] |= (np.uint64(3) - c[: n - j]) << np.uint64(2 * (k - 1 - j))
     mask = np.uint64((1 << 2 * k) - 1)
