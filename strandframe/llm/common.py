@@ -66,6 +66,18 @@ def unkeyed(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.withColumn(id_col, F.when(F.col(id_col) != NULL_ID, F.col(id_col)))
 
 
+def sample(rows: DataFrame, n: int, *by: str) -> list:
+    """About n rows, at most n, chosen by a hash of the columns `by`; rows that agree there count once.
+
+    A filter on the hash thins the rows where they are, so tasks send the driver no more than that together.
+    """
+    total = rows.count()
+    hashed = rows.withColumn("_h", F.xxhash64(*by).bitwiseAND((1 << 62) - 1))
+    if total > n:
+        hashed = hashed.where(F.col("_h") < int((1 << 62) * (n / total)))
+    return sorted(hashed.dropDuplicates(["_h"]).collect(), key=lambda r: r["_h"])[:n]
+
+
 def open_fs(uri: str):
     """(pyarrow filesystem, path) of a URI; works on executors for file, hdfs, s3, gs and abfs URIs."""
     from pyarrow import fs

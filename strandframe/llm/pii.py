@@ -29,8 +29,8 @@ from . import common
 from .langid import forward_backward
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents and stretches that the tagger is trained on at most, and its steps.
-SAMPLE_DOCS, STRETCHES, STEPS = 300, 1500, 260
+#: Documents sampled and stretches that the tagger is trained on at most, and its steps.
+SAMPLE_DOCS, STRETCHES, STEPS = 1500, 1500, 260
 WIDTH, HIDDEN, REACH = 64, 20, 40
 #: Mean posterior that an added span needs, and digits a phone number needs.
 SURE, PHONE_DIGITS = 0.8, (9, 15)
@@ -43,6 +43,7 @@ NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
+MARKS = re.compile("[0-9@]+")
 
 
 def luhn(digits: str) -> bool:
@@ -266,15 +267,13 @@ def _trained(texts: tuple[str, ...], steps: int) -> Tagger:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Tagger:
-    """Train on a bounded sample of the documents that hold a digit or an @ sign."""
-    own = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return _trained(tuple(r["text"] for r in own.orderBy("h", "text").limit(SAMPLE_DOCS).collect()), steps)
+    """Train on those documents of a bounded sample that hold a digit or an @ sign."""
+    chosen = common.sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), SAMPLE_DOCS, "id")
+    return _trained(tuple(r["text"] for r in chosen if r["text"] and MARKS.search(r["text"])), steps)
 
 
 # --- finding ----------------------------------------------------------------------------------------
 
-MARKS = re.compile("[0-9@]+")
-
 
 def regions(text: str) -> list[tuple[int, int]]:
     """Stretches around digits and @ signs, with REACH characters on both sides."""
