@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -78,17 +79,60 @@ def encode_words(memo: Memo, texts: Iterable[str | None]) -> Iterable[bytes]:
         yield memo.join(text.replace("\n", " ").split(" "), str)
 
 
-@lru_cache(4)
-def library_memo(path: str) -> Memo:
-    """A memo over a file of the tokenizers library; one for each Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
-    from tokenizers import Tokenizer
+#: A word of letters of the first 256 code points, maybe after a space, maybe with a full stop or comma.
+PLAIN_WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: itself if printable, else the next free code point from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class LibraryEncoder:
+    """Ids of chunks by the tokenizers library.
+
+    Plain words go straight to the file's BPE model, once for each distinct word (in lower case, if the file's
+    normalizer lowers it), as normalizer and pre-tokenizer have nothing to do there; all other chunks take the whole way.
+    If a probe shows that a file treats words differently, every chunk takes the whole way.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode_many(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.letters, self.known = self.tokenizer.model, byte_letters(), {}
+        self.lowers = self.whole([" AB"]) == self.whole([" ab"])
+        self.tails = dict(zip(("", ".", ","), self.whole(["", ".", ","]), strict=True))
+        probes = [f"{a}{w}{z}" for a in ("", " ") for w in ("word", "Word", "\u00c9t\u00e9", "a", "\u00df", "\u00ffX", "Erethion") for z in ("", ".", ",")]
+        self.direct = all(self.plain(PLAIN_WORD(p)) == w for p, w in zip(probes, self.whole(probes), strict=True))
 
-    return Memo(encode_many)
+    def whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def plain(self, match) -> bytes:
+        space, word, tail = match.groups()
+        word = word.lower() if self.lowers else space + word
+        ids = self.known.get(word)
+        if ids is None:
+            if len(self.known) >= 300_000:
+                self.known.clear()
+            written = word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            if len(word) <= LONG:
+                self.known[word] = ids
+        return ids + self.tails[tail]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        matches = [PLAIN_WORD(c) for c in chunks] if self.direct else [None] * len(chunks)
+        rest = iter(self.whole([c for c, m in zip(chunks, matches, strict=True) if not m]))
+        return [self.plain(m) if m else next(rest) for m in matches]
+
+
+@lru_cache(4)
+def library_memo(path: str) -> Memo:
+    """A memo over a file of the tokenizers library; one for each Python worker."""
+    return Memo(LibraryEncoder(path))

@@ -30,6 +30,16 @@ def test_chunked_ids_are_the_library_s(path):
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_plain_words_go_straight_to_the_model(path):
+    encoder = chunks.LibraryEncoder(path)
+    assert encoder.direct
+    r = random.Random(6)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(c).isalpha()]
+    words = [r.choice(["", " "]) + "".join(r.choices(letters, k=r.randint(1, 14))) + r.choice(["", ".", ","]) for _ in range(4000)]
+    assert encoder(words) == encoder.whole(words)
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
