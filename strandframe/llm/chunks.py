@@ -28,21 +28,37 @@ class Memo:
         self.young: dict[object, bytes] = {}
         self.old: dict[object, bytes] = {}
 
-    def join(self, parts: list, text_of: Callable[[object], str]) -> bytes:
+    def join(self, lists: list[list], text_of: Callable[[object], str]) -> list[bytes]:
+        """Joined ids of each list of chunks; what is new in all of them is encoded at once."""
         young = self.young
-        missing = {p for p in parts if p not in young}
+        missing = {p for parts in lists for p in parts if p not in young}
         if not missing:
-            return b"".join(map(young.__getitem__, parts))
-        if len(young) + len(missing) > self.limit:
+            return [b"".join(map(young.__getitem__, parts)) for parts in lists]
+        if young and len(young) + len(missing) > self.limit:
             self.old, self.young = young, {}
             young = self.young
-            missing = set(parts)
+            missing = {p for parts in lists for p in parts}
         old = self.old
         found = {p: old[p] for p in missing if p in old}
         new = [p for p in missing if p not in found]
         found |= zip(new, self.encode_many([text_of(p) for p in new]), strict=True)
         young |= {p: v for p, v in found.items() if len(p) <= LONG}
-        return b"".join([young[p] if p in young else found[p] for p in parts])
+        if len(young) > 2 * self.limit:  # a single call brought more than is kept
+            self.young = {}
+        return [b"".join([young[p] if p in young else found[p] for p in parts]) for parts in lists]
+
+
+def _groups(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterable[list[str]]:
+    """Texts in order, in lists of some megabytes."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text or "") > chars:
+            yield held
+            held, size = [], 0
+        held.append(text or "")
+        size += len(text or "")
+    if held:
+        yield held
 
 
 def spaced(part) -> str:
@@ -52,31 +68,27 @@ def spaced(part) -> str:
     return part if part[0] == "\n" else " " + part
 
 
+def _pieces(text: str) -> list:
+    """Keys of a text's chunks; an empty text has none."""
+    if not text:
+        return []
+    parts: list = text.replace("\n", " \n").split(" ")
+    if "" in parts or "\n" in parts or ODD_SPACE.search(text):
+        parts = CLEAN_SPACE.split(text)
+    parts[0] = (parts[0],)
+    return parts
+
+
 def encode_texts(memo: Memo, texts: Iterable[str | None], cuts: bool = True) -> Iterable[bytes]:
-    """Ids of each text for tokenizers that attach a space to the word after it. cuts: as for the whole text without chunks if false."""
-    for text in texts:
-        if not text:
-            yield b""
-            continue
-        if not cuts:
-            yield memo.encode_many([text])[0]
-            continue
-        parts: list = text.replace("\n", " \n").split(" ")
-        if "" in parts or "\n" in parts or ODD_SPACE.search(text):
-            parts = CLEAN_SPACE.split(text)
-        parts[0] = (parts[0],)
-        yield memo.join(parts, spaced)
+    """Ids of each text for tokenizers that attach a space to the word after it. Texts are encoded whole if cuts is false."""
+    for group in _groups(texts):
+        yield from memo.join([_pieces(t) for t in group], spaced) if cuts else memo.encode_many(group)
 
 
 def encode_words(memo: Memo, texts: Iterable[str | None]) -> Iterable[bytes]:
     """Ids of each text for tokenizers that lower-case and drop white space: chunks are what stands between spaces and newlines."""
-    for text in texts:
-        if not text:
-            yield b""
-            continue
-        if text.isascii():
-            text = text.lower()
-        yield memo.join(text.replace("\n", " ").split(" "), str)
+    for group in _groups(texts):
+        yield from memo.join([(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in group], str)
 
 
 #: A word of letters of the first 256 code points, maybe after a space, maybe with a full stop or comma.
