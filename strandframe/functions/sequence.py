@@ -55,11 +55,17 @@ def translate_codon(codon: Column | str, code: int = 1) -> Column:
 
 
 def translate(seq: Column | str, code: int = 1) -> Column:
-    """Amino acids of frame 0; a rest of one or two bases is left out, stops are *."""
-    seq = _col(seq)
-    n = F.floor(F.length(seq) / 3).cast("int")
-    codons = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: translate_codon(F.substring(seq, i * 3 + 1, F.lit(3)), code))
-    return F.when(n > 0, F.array_join(codons, "")).otherwise(F.when(seq.isNotNull(), F.lit("")))
+    """Amino acids of frame 0; a rest of one or two bases is left out, stops are *.
+
+    Bases become digits (4 for any other letter), codons are cut in one pass, and their number looks up the acid.
+    """
+    digits = F.translate(F.regexp_replace(normalize_dna(seq), f"[^{BASES}]", "4"), BASES, "0123")
+    table = codon_table(code)
+    acids = ["X"] * 445
+    for codon, acid in table.items():
+        acids[int("".join(str(BASES.index(c)) for c in codon))] = acid
+    by_number = F.split(F.lit("".join(acids)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("..."), F.lit(0)), lambda c: F.get(by_number, c.cast("int"))), "")
 
 
 def is_start_codon(codon: Column | str, code: int = 1) -> Column:
