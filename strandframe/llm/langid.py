@@ -254,8 +254,8 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    chosen = usable.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy("h", F.xxhash64("text")).limit(SAMPLE_DOCS)
-    return train([(r["text"], r["lang"]) for r in chosen.collect()])
+    chosen = common.sample(usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), SAMPLE_DOCS, "id")
+    return train([(r["text"], r["lang"]) for r in chosen])
 
 
 @lru_cache(1)
