@@ -174,11 +174,7 @@ def subsequence(spark, sf_dir):
 _QUAL = "translate(seq, 'ACGT-', 'IHGFE')"
 
 
-@query(
-    "remove_dashes",
-    f"""SELECT doc_id, md5(replace(seq, '-', '')) AS seq, md5(array_to_string(list_transform(list_filter(range(1, length(seq) + 1), lambda i: substr(seq, i, 1) <> '-'), lambda i: substr({_QUAL}, i, 1)), '')) AS qual
-FROM ({GAPPED_RECORDS})""",
-)
+@query("remove_dashes", f"SELECT doc_id, md5(replace(seq, '-', '')) AS seq, md5(replace({_QUAL}, 'E', '')) AS qual FROM ({GAPPED_RECORDS})")
 def remove_dashes(spark, sf_dir):
     rows = gapped(spark, sf_dir).withColumn("qual", F.translate("seq", "ACGT-", "IHGFE"))
     return R.without_dashes(rows).select(F.col("ordinal").alias("doc_id"), F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
