@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -180,10 +179,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(4)
 def encoder(path: str, pattern: str) -> tuple[Encoder, chunks.Memo]:
-    own = Encoder(read_ranks(path), pattern)
-    return own, chunks.Memo(own.chunks)
+    def build():
+        own = Encoder(read_ranks(path), pattern)
+        return own, chunks.Memo(own.chunks)
+
+    return common.resident(("bpe", path, pattern), build)
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,8 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+
+from . import common
 
 #: White space other than space and newline, in any of the libraries' definitions.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -144,7 +145,6 @@ class LibraryEncoder:
         return [self.plain(m) if m else next(rest) for m in matches]
 
 
-@lru_cache(4)
 def library_memo(path: str) -> Memo:
     """A memo over a file of the tokenizers library; one for each Python worker."""
-    return Memo(LibraryEncoder(path))
+    return common.resident(("library", path), lambda: Memo(LibraryEncoder(path)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,18 @@ NO_ID = 1 << 62
 NULL_ID = -(1 << 63)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: object, build: Callable[[], object]):
+    """What one operator keeps in a Python worker between tasks; what another operator kept there goes, as workers are shared."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

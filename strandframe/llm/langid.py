@@ -18,14 +18,13 @@ Columns other than id, text and language are ignored. An empty table gives no ro
 from __future__ import annotations
 
 import random
-import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -258,17 +257,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([(r["text"], r["lang"]) for r in chosen])
 
 
-@lru_cache(1)
-def _labeller(key: int, broadcast) -> Labeller:
-    return Labeller(broadcast.value)
+def _key(model: Model) -> str:
+    """Tells models apart inside a worker."""
+    return repr((model.langs, float(model.weights.sum()), float(model.transitions.sum()), len(model.lexicon)))
+
+
+def _labeller(key: str, broadcast) -> Labeller:
+    return common.resident(("langid", key), lambda: Labeller(broadcast.value))
 
 
 def predict(docs: DataFrame, model: Model, words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; with the labels of its words if asked."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
 
     def run(batches):
-        own = _labeller(zlib.crc32(model_key), shared)
+        own = _labeller(key, shared)
         for pdf in batches:
             size = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
             for part in np.unique(size // 2_000_000):  # some megabytes of text at once
@@ -280,7 +283,6 @@ def predict(docs: DataFrame, model: Model, words: bool = False, id_col: str = "d
                     out["words"] = [[own.model.langs[k] if ok else UNKNOWN for k, ok in zip(post.argmax(1), lettered, strict=True)] for post, lettered in own.label(texts)] if own.model.langs else [[]] * len(out)
                 yield out
 
-    model_key = repr((model.langs, float(model.weights.sum()), len(model.lexicon))).encode()
     schema = "doc_id long, lang_pred string, score double" + (", words array<string>" if words else "")
     found = common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, schema))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", *(["words"] if words else []))
@@ -288,13 +290,19 @@ def predict(docs: DataFrame, model: Model, words: bool = False, id_col: str = "d
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The same rows and columns with lang_pred and lang_score beside them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        own, rows = _labeller(0, shared), texts.tolist()
-        got = [g for lo in range(0, len(rows), 500) for g in own.predict(rows[lo : lo + 500])]
-        return pd.DataFrame(got, columns=["lang_pred", "lang_score"])
-
-    found = docs.withColumn("_found", label(F.col(text_col)))
-    return found.select(*docs.columns, "_found.lang_pred", "_found.lang_score")
+    def run(batches):
+        import pyarrow as pa
+
+        own = _labeller(key, shared)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo in range(0, batch.num_rows, 500):  # few texts as Python strings at once
+                part = batch.slice(lo, 500)
+                found = own.predict(part.column(at).to_pylist())
+                more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)

@@ -375,6 +375,7 @@ def find(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches):
+        common.resident("pii", lambda: None)
         for pdf in batches:
             base, more = _scan(shared.value, [t or "" for t in pdf["text"]])
             rows = [(*(sum(k == kind for k, _, _ in b) for kind in KINDS), hashlib.sha256(written(b).encode()).hexdigest(), written(b + m)) for b, m in zip(base, more, strict=True)]
@@ -389,18 +390,31 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: s
     """The same rows and columns, with every span replaced by its kind in brackets and the length kept right."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
-    @F.pandas_udf("string")
-    def cover(texts: pd.Series) -> pd.Series:
-        base, more = _scan(shared.value, [t or "" for t in texts])
-        out = []
-        for text, b, m in zip(texts, base, more, strict=True):
-            at, parts = 0, []
-            for kind, start, end in sorted(b + m, key=lambda s: (s[1], -s[2])):
-                if start >= at:
-                    parts += [text[at:start], f"[{kind.upper()}]"]
-                at = max(at, end)
-            out.append(None if text is None else "".join([*parts, text[at:]]))
-        return pd.Series(out, dtype=object)
-
-    done = docs.withColumn(text_col, cover(F.col(text_col)))
-    return done.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else done
+    def cover(text: str | None, spans) -> str | None:
+        if text is None:
+            return None
+        at, parts = 0, []
+        for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if start >= at:
+                parts += [text[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        return "".join([*parts, text[at:]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        common.resident("pii", lambda: None)
+        for batch in batches:
+            at, chars = batch.schema.get_field_index(text_col), batch.schema.get_field_index(chars_col)
+            for lo in range(0, batch.num_rows, 500):  # few texts as Python strings at once
+                part = batch.slice(lo, 500)
+                texts = part.column(at).to_pylist()
+                base, more = _scan(shared.value, [t or "" for t in texts])
+                done = [cover(t, b + m) for t, b, m in zip(texts, base, more, strict=True)]
+                columns = list(part.columns)
+                columns[at] = pa.array(done, batch.schema.field(at).type)
+                if chars >= 0:
+                    columns[chars] = pa.array([None if t is None else len(t) for t in done], batch.schema.field(chars).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

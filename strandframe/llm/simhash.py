@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     """(id, fp) with fp as a signed long of the same bits."""
 
     def run(batches):
+        common.resident("simhash", lambda: None)
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fp})
