@@ -4,7 +4,8 @@ STAGES run in order. Each takes (spark, docs, sf_dir), where docs is what the st
 written as Parquet and reread as the next one's docs. All but the last return the columns of documents.
 
 1. language: documents without letters, or without a language that most of their words speak for, go.
-2. simhash: of each group of documents linked by their fingerprints the one with the smallest doc_id stays.
+2. simhash: of each group of documents linked by similarity 0.8 of five-word shingles (op5's fingerprints with 4 bits would
+   miss most of these links) the one with the smallest doc_id stays.
 3. pii: personal data in the texts is replaced by its kind in brackets; n_chars follows.
 4. packing: texts become token ids, cut and packed into sequences of 1024; the rows are the placed pieces.
 
@@ -18,10 +19,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm import common, langid, packing, pii, simhash
+from strandframe.llm import common, langid, packing, pii, similar
 
 #: A document stays if its words speak for its language with this mean posterior at least.
 MIN_SCORE = 0.4
+#: Near copies have this Jaccard similarity of their sets of five-word shingles at least.
+MIN_SIMILARITY = 0.8
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, radius=4, shingle=4).select(docs.columns)
+    return similar.one_of_each(docs, MIN_SIMILARITY)
 
 
 def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
