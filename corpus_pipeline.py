@@ -7,7 +7,8 @@ written as Parquet and reread as the next one's docs. All but the last return th
 2. simhash: of each group of documents linked by similarity 0.8 of five-word shingles (op5's fingerprints with 4 bits would
    miss most of these links) the one with the smallest doc_id stays.
 3. pii: personal data in the texts is replaced by its kind in brackets; n_chars follows.
-4. packing: texts become token ids, cut and packed into sequences of 1024; the rows are the placed pieces.
+4. packing: texts become token ids, cut and packed into sequences of 1024; the rows are the placed pieces
+   with their ids (little-endian unsigned 32-bit integers).
 
 Null texts go in the first stage (they have no letters). Rows that repeat a doc_id are one document after the second
 stage; rows without doc_id are never merged. An empty table gives an empty result.
@@ -40,7 +41,7 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, keep_ids=True)
 
 
 STAGES = [("language", language_stage), ("simhash", simhash_stage), ("pii", pii_stage), ("packing", packing_stage)]

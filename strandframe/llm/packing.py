@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import chunks, common
 
 END = 2
+#: Pieces with ids that a task hands on at once.
+HELD = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -46,6 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool = Fals
 
     def run(batches):
         memo = chunks.library_memo(tokenizer)
+        columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
         for pdf in batches:
             rows = []
             for doc, ids in zip(pdf["id"], chunks.encode_texts(memo, pdf["text"]), strict=True):
@@ -53,7 +56,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool = Fals
                 for k, (start, n) in enumerate(cut(ids, capacity)):
                     part = ids[4 * start : 4 * (start + n)]
                     rows.append((doc, k, start, n, zlib.crc32(part), *([part] if keep_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
+                if keep_ids and len(rows) >= HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     schema = PIECES + (", ids binary" if keep_ids else "")
     return common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, schema))

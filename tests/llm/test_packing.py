@@ -106,3 +106,16 @@ def test_pack_documents(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), BYTE).collect() == []
+
+
+def test_pipeline_stage_returns_the_ids_of_whole_texts(spark):
+    import corpus_pipeline
+
+    text = "The of and thing that was. " * 400
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.packing_stage(spark, df, "").collect()
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc, t in ((1, text), (2, "short")):
+        own = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["piece"])
+        assert np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, packing.END]
+        assert all(len(r["ids"]) == 4 * r["length"] for r in own)
