@@ -3,7 +3,7 @@
 STAGES run in order. Each takes (spark, docs, sf_dir), where docs is what the stage before kept, and its result is
 written as Parquet and reread as the next one's docs. All but the last return the columns of documents.
 
-1. language: documents without letters, or without a language that most of their words speak for, go.
+1. language: documents without letters, or whose words neither share a language nor are each sure of one, go.
 2. simhash: of each group of documents linked by similarity 0.8 of five-word shingles (op5's fingerprints with 4 bits would
    miss most of these links) the one with the smallest doc_id stays.
 3. pii: personal data in the texts is replaced by its kind in brackets; n_chars follows.
@@ -24,12 +24,15 @@ from strandframe.llm import common, langid, packing, pii, similar
 
 #: A document stays if its words speak for its language with this mean posterior at least.
 MIN_SCORE = 0.4
+#: Or if its words, taken one by one, are this certain of some language on average: code-switched text.
+MIN_CERTAINTY = 0.8
 #: Near copies have this Jaccard similarity of their sets of five-word shingles at least.
 MIN_SIMILARITY = 0.8
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.annotate(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE)).select(docs.columns)
+    clear = (F.col("lang_score") >= MIN_SCORE) | (F.col("lang_certainty") >= MIN_CERTAINTY)
+    return langid.annotate(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & clear).select(docs.columns)
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,16 +233,21 @@ class Labeller:
         return [(post[a:b], lettered[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score and certainty: the mean over the words of their largest posterior, of whichever language."""
         if not self.model.langs:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         out = []
         for post, lettered in self.label(texts):
             if not lettered.any():
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0))
                 continue
-            mean = post[lettered].mean(0, dtype=np.float64)
+            own = post[lettered]
+            mean = own.mean(0, dtype=np.float64)
             best = int(mean.argmax())
-            out.append((self.model.langs[best], min(1.0, float(mean[best]))))
+            out.append((self.model.langs[best], min(1.0, float(mean[best])), min(1.0, float(own.max(1).mean(dtype=np.float64)))))
         return out
 
 
@@ -289,7 +294,7 @@ def predict(docs: DataFrame, model: Model, words: bool = False, id_col: str = "d
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with lang_pred and lang_score beside them."""
+    """The same rows and columns with lang_pred, lang_score and lang_certainty beside them."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
 
     def run(batches):
@@ -300,9 +305,9 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             at = batch.schema.get_field_index(text_col)
             for lo in range(0, batch.num_rows, 500):  # few texts as Python strings at once
                 part = batch.slice(lo, 500)
-                found = own.predict(part.column(at).to_pylist())
-                more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score"])
+                found = own.judge(part.column(at).to_pylist())
+                more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_certainty"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_certainty", T.DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -65,3 +65,16 @@ def test_odd_rows(spark, tmp_path):
     got = pipeline.run(spark, f"{tmp_path}/full").collect()
     assert {g["doc_id"] for g in got} >= {None} and not {900, 901} & {g["doc_id"] for g in got}
     assert pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_clean_text_of_many_languages_stays(spark):
+    docs = common.table(spark, DATA, "documents")
+    texts = {}
+    for r in docs.where("lang is not null and n_chars > 1000").collect():
+        texts.setdefault(r["lang"], r["text"])
+    mixed = " ".join(" ".join(t.split()[:60]) for t in texts.values())
+    labeller = langid.Labeller(langid.fit(docs))
+    assert labeller.predict([mixed])[0][1] < pipeline.MIN_SCORE
+    more = spark.createDataFrame([(10**6, mixed, None, None, len(mixed)), (10**6 + 1, "日本語 テキスト 文章 " * 30, None, None, 390)], docs.schema)
+    got = {r["doc_id"] for r in pipeline.language_stage(spark, docs.unionByName(more), DATA).where("doc_id >= 1000000").collect()}
+    assert got == {10**6}
