@@ -449,7 +449,11 @@ def minimizer_occurrences(spark, sf_dir):
 
 @query("map_passages")
 def map_passages(spark, sf_dir):
-    """All benchmark passages, mapped to all documents."""
+    """All benchmark passages, mapped to all documents by seeds with few places.
+
+    Seeds with more than 200 places in all documents are dropped, those with 51 to 200 mostly: a passage that over 200
+    documents hold loses all its seeds and has no hits.
+    """
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ordinal"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), unbroken().alias("seq"))
     rows = Mapper.build(unbroken_records(spark, sf_dir), INDEX).map(passages)
     flat = rows.select("query_name", "query_length", F.explode_outer("hits").alias("h"))
