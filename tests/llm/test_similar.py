@@ -57,3 +57,11 @@ def test_cells_hold_pairs_at_the_threshold_together():
         a, b = similar.shingles(base), similar.shingles(edited(r, base, 4))
         found += bool((similar.cells(a) == similar.cells(b)).any())
     assert found == 300
+
+
+def test_rows_are_told_apart_by_text_not_by_id(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randrange(3000)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (5, b), (5, edited(r, a, 1)), (None, c), (None, c), (5, b)]
+    got = pipeline.simhash_stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA), "").collect()
+    assert sorted((str(x["doc_id"]), x["text"]) for x in got) == sorted([("1", a), ("5", b), ("None", c)])
