@@ -17,9 +17,8 @@ import hashlib
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import chunks, common
 
@@ -80,7 +79,8 @@ class Encoder:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(ranks)
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.known: dict[str, bytes] = {}
+        tokens = [self.bytes_of.get(r, b"") for r in range(max(self.bytes_of) + 1)]
+        self.store, self.edge = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))))
 
     def bucket(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of similar length, of at least two bytes each."""
@@ -151,7 +151,7 @@ class Encoder:
             else:
                 short.append((w, b))
         short.sort(key=lambda x: len(x[1]))
-        for width in (4, 8, 12, 16, 24, 32, 64, 128, WIDE):
+        for width in (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, WIDE):
             n = next((i for i, x in enumerate(short) if len(x[1]) > width), len(short))
             own, short = short[:n], short[n:]
             for lo in range(0, len(own), ROWS):
@@ -159,19 +159,16 @@ class Encoder:
                 out |= zip((w for w, _ in part), self.bucket([b for _, b in part]), strict=True)
         return out
 
-    def chunks(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text by its pretokens; pretokens seen lately are remembered."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts by their pretokens."""
         found = [self.find(t) for t in texts]
-        new = {w for ws in found for w in ws if w not in self.known}
-        if len(self.known) + len(new) > 300_000:
-            self.known, new = {}, {w for ws in found for w in ws}
-        got = self.words(list(new))
-        self.known |= {w: v for w, v in got.items() if len(w) <= chunks.LONG}
-        known = self.known
-        return [b"".join([known[w] if w in known else got[w] for w in ws]) for ws in found]
+        got = self.words(list({w for ws in found for w in ws}))
+        return chunks.joined([got[ws[0]] if len(ws) == 1 else b"".join([got[w] for w in ws]) for ws in found])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the ids, ends of each id's bytes with 0 before them)."""
+        size = self.edge[ids + 1] - self.edge[ids]
+        return chunks.gather(self.store, self.edge[ids], size), np.concatenate(([0], np.cumsum(size)))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -179,34 +176,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def encoder(path: str, pattern: str) -> tuple[Encoder, chunks.Memo]:
+def encoder(path: str, pattern: str) -> tuple[Encoder, chunks.Encoder]:
+    """Both by a rank file. Chunks are remembered if the pattern is that of the byte-level vocabularies here, whose matches hold a
+    space only at their start; with any other pattern texts are encoded whole."""
+    import public_tokenizers
+
     def build():
         own = Encoder(read_ranks(path), pattern)
-        return own, chunks.Memo(own.chunks)
+        return own, chunks.Encoder(own, chunks.cut_spaced if pattern == public_tokenizers.PATTERN else None)
 
     return common.resident(("bpe", path, pattern), build)
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; with the ids and decoded bytes if asked.
-
-    Chunks between spaces are remembered if the pattern is that of the byte-level vocabularies here, whose
-    matches hold a space only at their start; with any other pattern texts are encoded whole.
-    """
-    import public_tokenizers
-
-    cuts = pattern == public_tokenizers.PATTERN
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text; with the ids and decoded bytes if asked."""
 
     def run(batches):
-        own, memo = encoder(ranks, pattern)
-        for pdf in batches:
-            rows = []
-            for ids in chunks.encode_texts(memo, pdf["text"], cuts):
-                decoded = own.decode(ids)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([ids, decoded] if keep else [])))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])])
-            out.insert(0, "doc_id", pdf["id"].to_numpy())
-            yield out
+        own, encode = encoder(ranks, pattern)
+        for batch in common.slices(batches):
+            ids, edge = encode(batch.column("text"))
+            decoded, ends = own.decode(ids)
+            ends, n = ends[edge], len(edge) - 1
+            raw, plain = memoryview(ids.astype("<u4", copy=False)).cast("B"), memoryview(decoded)
+            a, b = [raw[4 * edge[k] : 4 * edge[k + 1]] for k in range(n)], [plain[ends[k] : ends[k + 1]] for k in range(n)]
+            more = {"ids": pa.array(map(bytes, a), pa.binary()), "decoded": pa.array(map(bytes, b), pa.binary())} if keep else {}
+            yield common.record_batch(doc_id=batch.column("id"), n_tokens=np.diff(edge), ids_sha256=[hashlib.sha256(x).hexdigest() for x in a], decoded_sha256=[hashlib.sha256(x).hexdigest() for x in b], **more)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded binary" if keep else "")
-    return common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, schema))
+    return common.id_text(docs, id_col, text_col).mapInArrow(run, schema)

@@ -1,35 +1,76 @@
-"""What the operators of this subpackage share: tables, the shared folder, components, packed keys."""
+"""What the operators of this subpackage share: tables, the shared folder, bounded batches, samples, components."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stand-ins for rows whose id is null start here; real ids are assumed to be smaller.
-NO_ID = 1 << 62
-#: Stands for a null id inside Python stages.
-NULL_ID = -(1 << 63)
-
+#: Bytes of text that a Python stage works on at once; a single longer text comes alone.
+TEXT_BYTES = 4 << 20
+#: Characters of a sampled text that a model is trained on at most.
+SAMPLE_CHARS = 20_000
 
 _RESIDENT: dict = {}
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: workers live on from stage to stage."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def resident(key: object, build: Callable[[], object]):
     """What one operator keeps in a Python worker between tasks; what another operator kept there goes, as workers are shared."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
-        gc.collect()
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose values in a column of strings or bytes have about `most` bytes together."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, lo = np.cumsum(size, dtype=np.int64), 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+    trim()
+
+
+def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) for Arrow stages, where nulls stay nulls."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def record_batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,25 +112,18 @@ def drop(spark: SparkSession, *uris: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) for Python stages: null ids become NULL_ID, as pandas would turn a column of longs with nulls into doubles."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-
-
-def unkeyed(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return df.withColumn(id_col, F.when(F.col(id_col) != NULL_ID, F.col(id_col)))
-
-
-def sample(rows: DataFrame, n: int, *by: str) -> list:
-    """About n rows, at most n, chosen by a hash of the columns `by`; rows that agree there count once.
+def sample(rows: DataFrame, n: int, key: str, text: str) -> list:
+    """About n rows, at most n, chosen by a hash of the key, or of the text where the key is null; rows that agree in all columns count once.
 
-    A filter on the hash thins the rows where they are, so tasks send the driver no more than that together.
+    A filter on the hash thins the rows where they are, so tasks send the driver no more than that together. Texts are cut to
+    SAMPLE_CHARS characters. Equal tables give equal samples, whatever the order of their rows.
     """
     total = rows.count()
-    hashed = rows.withColumn("_h", F.xxhash64(*by).bitwiseAND((1 << 62) - 1))
+    hashed = rows.withColumn("_h", F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(text)).bitwiseAND((1 << 62) - 1))
     if total > n:
         hashed = hashed.where(F.col("_h") < int((1 << 62) * (n / total)))
-    return sorted(hashed.dropDuplicates(["_h"]).collect(), key=lambda r: r["_h"])[:n]
+    found = hashed.withColumn(text, F.substring(text, 1, SAMPLE_CHARS)).distinct().orderBy("_h", *rows.columns).limit(n).collect()
+    return found
 
 
 def open_fs(uri: str):

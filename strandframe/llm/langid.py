@@ -11,7 +11,7 @@ The model is fitted on the driver on at most `SAMPLE_DOCS` labelled documents, d
 and at most `STRETCHES` stretches of them; every text is then labelled whole.
 
 Defined cases: a text that is null or has no letters is `und` with score 0, and so is every text if no
-document has a language. Rows that repeat are labelled alike. Very long texts are labelled window by window.
+document has a language. A null id stays null and is never held out. Rows that repeat are labelled alike. Very long texts are labelled window by window.
 Columns other than id, text and language are ignored. An empty table gives no rows.
 """
 
@@ -21,7 +21,7 @@ import random
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 #: Words labelled by a window, and words of context on each side of them.
 CORE, CONTEXT = 96, 16
 #: Words of a task's lookup table before it starts anew.
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 @dataclass
@@ -258,7 +258,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False)))
-    chosen = common.sample(usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), SAMPLE_DOCS, "id")
+    chosen = common.sample(usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), SAMPLE_DOCS, "id", "text")
     return train([(r["text"], r["lang"]) for r in chosen])
 
 
@@ -277,37 +277,36 @@ def predict(docs: DataFrame, model: Model, words: bool = False, id_col: str = "d
 
     def run(batches):
         own = _labeller(key, shared)
-        for pdf in batches:
-            size = pdf["text"].str.len().fillna(0).to_numpy().cumsum()
-            for part in np.unique(size // 2_000_000):  # some megabytes of text at once
-                rows = pdf[size // 2_000_000 == part]
-                texts = rows["text"].tolist()
-                got = own.predict(texts)
-                out = pd.DataFrame({"doc_id": rows["id"].to_numpy(), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
-                if words:
-                    out["words"] = [[own.model.langs[k] if ok else UNKNOWN for k, ok in zip(post.argmax(1), lettered, strict=True)] for post, lettered in own.label(texts)] if own.model.langs else [[]] * len(out)
-                yield out
+        for batch in common.slices(batches):
+            texts = batch.column("text").to_pylist()
+            got = own.predict(texts)
+            more = {}
+            if words:
+                labels = [[own.model.langs[k] if ok else UNKNOWN for k, ok in zip(post.argmax(1), lettered, strict=True)] for post, lettered in own.label(texts)] if own.model.langs else [[] for _ in texts]
+                more["words"] = pa.array(labels, pa.list_(pa.string()))
+            yield common.record_batch(doc_id=batch.column("id"), lang_pred=pa.array([g[0] for g in got], pa.string()), score=pa.array([g[1] for g in got], pa.float64()), **more)
 
     schema = "doc_id long, lang_pred string, score double" + (", words array<string>" if words else "")
-    found = common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, schema))
+    found = common.id_text(docs, id_col, text_col).mapInArrow(run, schema)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", *(["words"] if words else []))
 
 
-def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with lang_pred, lang_score and lang_certainty beside them."""
+ADDED = ("lang_pred", "lang_score", "lang_certainty")
+
+
+def annotate(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """The same rows and columns with language, score and certainty beside them, under names that no column of docs has."""
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {names} exist already")
     shared, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
+    kinds = (pa.string(), pa.float64(), pa.float64())
 
     def run(batches):
-        import pyarrow as pa
-
         own = _labeller(key, shared)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for lo in range(0, batch.num_rows, 500):  # few texts as Python strings at once
-                part = batch.slice(lo, 500)
-                found = own.judge(part.column(at).to_pylist())
-                more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_certainty"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_certainty", T.DoubleType())])
+        for part in common.slices(batches, text_col):
+            found = own.judge(part.column(text_col).to_pylist())
+            more = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *names])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if n == names[0] else T.DoubleType()) for n in names)])
     return docs.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,37 +32,43 @@ END = 2
 #: Pieces with ids that a task hands on at once.
 HELD = 1000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
-
-
-def cut(ids: bytes, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: all of full length but the first."""
-    n = len(ids) // 4
-    first = (n - 1) % capacity + 1
-    return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encoded pieces of all documents; with their ids as bytes if asked."""
-    end = np.array([END], "<u4").tobytes()
+    """Encoded pieces of all documents, all of full length but the first; with their ids as bytes if asked."""
 
     def run(batches):
-        memo = chunks.library_memo(tokenizer)
-        columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-        for pdf in batches:
-            rows = []
-            for doc, ids in zip(pdf["id"], chunks.encode_texts(memo, pdf["text"]), strict=True):
-                ids += end
-                for k, (start, n) in enumerate(cut(ids, capacity)):
-                    part = ids[4 * start : 4 * (start + n)]
-                    rows.append((doc, k, start, n, zlib.crc32(part), *([part] if keep_ids else [])))
-                if keep_ids and len(rows) >= HELD:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
-
-    schema = PIECES + (", ids binary" if keep_ids else "")
-    return common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, schema))
+        encode = chunks.library(tokenizer)
+        for batch in common.slices(batches):
+            ids, ends = encode(batch.column("text"))
+            docs_n = len(ends) - 1
+            stop = ends[1:] + np.arange(docs_n)  # places of the end ids
+            flat = np.full(len(ids) + docs_n, END, np.uint32)
+            inside = np.ones(len(flat), bool)
+            inside[stop] = False
+            flat[inside] = ids
+            begin = np.concatenate(([0], stop[:-1] + 1))
+            size = stop + 1 - begin
+            count = -(-size // capacity)
+            doc = np.repeat(np.arange(docs_n), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            first = (size - 1) % capacity + 1
+            start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[doc], capacity)
+            raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+            at = 4 * (begin[doc] + start)
+            crc = np.fromiter((zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)), np.int64, len(doc))
+            out = common.record_batch(doc_id=batch.column("id").take(pa.array(doc)), piece=piece.astype(np.int32), start=start, length=length, ids_crc32=crc)
+            if not keep_ids:
+                yield out
+                continue
+            for lo in range(0, len(doc), HELD):  # pieces follow one another, so their ids are parts of one buffer
+                part = out.slice(lo, HELD)
+                edge = np.append(at[lo : lo + HELD], at[lo + HELD] if lo + HELD < len(at) else 4 * len(flat))
+                own = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((edge - edge[0]).astype(np.int32)), pa.py_buffer(raw[edge[0] : edge[-1]])])
+                yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*part.schema.names, "ids"])
+
+    return common.id_text(docs, id_col, text_col).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int, int]]]:
@@ -124,15 +130,17 @@ def best_fit(rows: DataFrame, capacity: int) -> DataFrame:
     slot_key = table[:, 0] * wide + table[:, 1]
 
     def place(batches):
-        for pdf in batches:
-            length = pdf["length"].to_numpy()
-            rank = pdf["at"].to_numpy() + span_base[np.searchsorted(span_key, pdf["part"].to_numpy() * (capacity + 1) + length)]
+        for batch in batches:
+            length, at, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "at", "part"))
+            rank = at + span_base[np.searchsorted(span_key, part * (capacity + 1) + length)]
             slot = np.searchsorted(slot_key, length * wide + rank, "right") - 1
             bin_of, within = np.divmod(rank - table[slot, 1], table[slot, 4])
-            yield pdf.drop(columns=["at", "part"]).assign(sequence_id=table[slot, 3] + bin_of, offset=table[slot, 5] + within * length)
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(table[slot, 3] + bin_of), pa.array(table[slot, 5] + within * length)], names=[*names, "sequence_id", "offset"])
 
+    names = rows.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    return common.unkeyed(sorted_rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(common.NULL_ID))).mapInPandas(place, schema))
+    return sorted_rows.mapInArrow(place, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,21 +132,31 @@ def write(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col: str =
     uri = uri or common.new_uri(spark, "tokens")
 
     def encode(batches):
-        memo, codec, seen = chunks.library_memo(tokenizer), zstandard.ZstdCompressor(level=3), set()
-        end = np.array([END], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for doc, raw in zip(pdf["id"], chunks.encode_words(memo, pdf["text"]), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
+        tokenize, codec, seen = chunks.library(tokenizer), zstandard.ZstdCompressor(level=1), set()
+        end = np.array([END], np.uint32)
+        for batch in common.slices(batches):
+            flat, edge = tokenize(batch.column("text"))
+            sizes, digests, lengths, payloads, roots = [], [], [], [], []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                ids = np.concatenate([flat[lo:hi], end])
                 ends = cuts(ids)
                 parts = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                digests = [digest(p) for p in parts]
-                payloads = [None if d in seen else squeeze(p, codec) for d, p in zip(digests, parts, strict=True)]
-                seen.update(digests)
-                if len(seen) > 1_000_000:
+                own = [digest(p) for p in parts]
+                more = []
+                for d, p in zip(own, parts, strict=True):
+                    more.append(None if d in seen else squeeze(p, codec))
+                    seen.add(d)
+                if len(seen) > 200_000:
                     seen.clear()  # chunks after that may be passed on again, and are still stored once
-                rows.append((doc, len(ids), digests, [len(p) for p in parts], payloads, merkle(digests)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "payloads", "root"])
+                sizes.append(len(ids))
+                digests.append(own)
+                lengths.append([len(p) for p in parts])
+                payloads.append(more)
+                roots.append(merkle(own))
+            yield common.record_batch(
+                doc_id=batch.column("id"), n_tokens=pa.array(sizes, pa.int64()), digests=pa.array(digests, pa.list_(pa.binary())), lengths=pa.array(lengths, pa.list_(pa.int32())),
+                payloads=pa.array(payloads, pa.list_(pa.binary())), root=pa.array(roots, pa.binary()),
+            )
 
     def unique(batches):
         last = None
@@ -156,13 +167,13 @@ def write(docs: DataFrame, tokenizer: str, uri: str | None = None, id_col: str =
                 last = d
             yield pdf[keep]
 
-    staged, staged_uri = common.save(common.keyed(docs, id_col, text_col).mapInPandas(encode, STAGED), "ids")
+    staged, staged_uri = common.save(common.id_text(docs, id_col, text_col).mapInArrow(encode, STAGED), "ids")
     found = staged.select(F.inline(F.arrays_zip("digests", "lengths", "payloads"))).toDF("digest", "n", "payload").where("payload is not null")
     found.repartition("digest").sortWithinPartitions("digest").mapInPandas(unique, "digest binary, n int, payload binary").write.parquet(f"{uri}/chunks")
 
     order = ["doc_id", "root"]
     at = F.monotonically_increasing_id()
-    recipes = common.unkeyed(staged.select("doc_id", "n_tokens", "digests", "lengths", "root").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at))
+    recipes = staged.select("doc_id", "n_tokens", "digests", "lengths", "root").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at)
     part = F.shiftright("at", 33).cast("int")
     recipes.select("doc_id", part.alias("part"), "at", "n_tokens", "digests", "lengths", "root").write.parquet(f"{uri}/recipes")
     roots = spark.read.parquet(f"{uri}/recipes").select("part", "at", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "at").mapInPandas(_part_roots, "part int, docs long, n_tokens long, root binary")
@@ -258,9 +269,10 @@ def reconstruct(store: tuple[SparkSession, str]) -> DataFrame:
 
     def join(batches):
         codec = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "at": pdf["at"], "ids": [np.concatenate([unsqueeze(p, codec) for p in ps]).astype(np.int32) for ps in pdf["payloads"]]})
+        for batch in batches:
+            ids = [np.concatenate([unsqueeze(p, codec) for p in ps]).astype(np.int32) for ps in batch.column("payloads").to_pylist()]
+            yield common.record_batch(doc_id=batch.column("doc_id"), at=batch.column("at"), ids=pa.array(ids, pa.list_(pa.int32())))
 
-    used = recipes.select("doc_id", "at", F.posexplode("digests").alias("k", "digest")).withColumn("doc_id", F.coalesce("doc_id", F.lit(common.NULL_ID)))
-    lists = used.join(stored, "digest").groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct("k", "payload"))).alias("p"))
-    return common.unkeyed(lists.select("doc_id", "at", F.col("p.payload").alias("payloads")).mapInPandas(join, "doc_id long, at long, ids array<int>"))
+    used = recipes.select("doc_id", "at", F.posexplode("digests").alias("k", "digest"))
+    lists = used.join(stored, "digest").groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "payload"))).alias("p"))
+    return lists.select("doc_id", "at", F.col("p.payload").alias("payloads")).mapInArrow(join, "doc_id long, at long, ids array<int>")

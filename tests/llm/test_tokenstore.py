@@ -68,3 +68,19 @@ def test_damage_is_seen(spark):
 
 def test_empty_table(spark):
     assert tokenstore.read_digests(tokenstore.write(spark.createDataFrame([], "doc_id long, text string"), WORD)).collect() == []
+
+
+def test_any_tokenizer_file_is_stored_by_its_own_rules(spark):
+    texts = ["Hello World again", "  two  blanks \n and\n\nlines ", "Été 12-3 it's", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for path in (WORD, public_tokenizers.path("byte_bpe_50k.json")):
+        tok = Tokenizer.from_file(path)
+        got = {r["doc_id"]: r["ids"] for r in tokenstore.reconstruct(tokenstore.write(df, path)).collect()}
+        assert got == {k: tok.encode(t or "", add_special_tokens=False).ids + [2] for k, t in enumerate(texts)}
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    ids = [-(1 << 63), -1, 0, 1 << 62, (1 << 63) - 1, None]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    out = sorted(tokenstore.read_digests(tokenstore.write(df, WORD)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None, *sorted(i for i in ids if i is not None)]
