@@ -9,8 +9,10 @@ the differing bits of those factored patterns; a whole group goes once the sum e
 only the links of a spanning forest, never all pairs. Cells with too many fingerprints are dealt out as pairs
 of salted parts, which together see every pair.
 
+Nodes of the links are the fingerprints themselves, so any id may occur.
+
 Defined cases: a null or blank text has fingerprint zero, linked like any other. Rows with equal ids stay
-separate rows of one component. A row without an id takes part in links and gets the smallest id reachable,
+separate rows, which link by their texts only. A row without an id takes part in links and gets the smallest id reachable,
 or null if there is none. Columns other than id and text are ignored.
 """
 
@@ -37,34 +39,45 @@ SLICE = 512
 # --- fingerprints -----------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def hashes(text: str | None, shingle: int = 4, part: int = 1 << 15):
+    """Hashes of the shingles of a text, repeats included, in arrays of bounded size; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    line = b" ".join(words)
+        return
+    line, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, 42)
+        yield np.array([h(line, 42)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
-    h = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(words) - shingle + 1
-    for lo in range(0, n, 1 << 15):  # bounded memory for long texts
-        hi = min(n, lo + (1 << 15))
-        hashes = np.array([h(line[s:e], 42) for s, e in zip(starts[lo:hi].tolist(), (ends[lo + shingle - 1 : hi + shingle - 1] - 1).tolist(), strict=True)], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for lo in range(0, len(words) - shingle + 1, part):
+        hi = min(len(words) - shingle + 1, lo + part)
+        yield np.array([h(line[s:e], 42) for s, e in zip(starts[lo:hi].tolist(), (ends[lo + shingle - 1 : hi + shingle - 1] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(parts) -> int:
+    """The fingerprint of hashes: a bit is set if over half of them have it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for own in parts:
+        counts += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(own)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) with fp as a signed long of the same bits."""
 
     def run(batches):
         common.resident("simhash", lambda: None)
-        for pdf in batches:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "fp": fp})
+        for batch in common.slices(batches):
+            fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield common.record_batch(id=batch.column("id"), fp=fp)
 
-    return common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, "id long, fp long"), "id")
+    return common.id_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
 # --- the index --------------------------------------------------------------------------------------
@@ -139,7 +152,7 @@ def _cells(batches, radius: int):
     def flush(parts):
         pdf = pd.concat(parts, ignore_index=True)
         order, label = link_cells(pdf["cell"].to_numpy(), pdf["fp"].to_numpy(), radius)
-        rep = pdf["rep"].to_numpy()[order]
+        rep = pdf["fp"].to_numpy()[order]
         child = label != np.arange(len(label))
         return pd.DataFrame({"u": rep[child], "v": rep[label[child]]})
 
@@ -176,15 +189,12 @@ def cell_keys(fp, blocks: int, radius: int):
     return F.array(*(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(picks)))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): every row with its fingerprint and the smallest id that links reach from it."""
-    spark = docs.sparkSession
-    prints, _ = common.save(fingerprints(docs, shingle, id_col, text_col), "prints")
-    rep = F.coalesce(F.min("id"), F.lit(common.NO_ID) + F.col("fp").bitwiseAND((1 << 61) - 1))
-    reps, reps_uri = common.save(prints.groupBy("fp").agg(rep.alias("rep")), "reps")
-
+def linked(prints: DataFrame, radius: int = 4) -> tuple[DataFrame, str]:
+    """(fp, root) of every distinct fingerprint of prints(fp): those that links reach from one another share a root."""
+    spark = prints.sparkSession
+    reps, reps_uri = common.save(prints.select("fp").distinct(), "reps")
     blocks = blocks_for(reps.count(), radius)
-    routed, routed_uri = common.save(reps.select("fp", "rep", F.explode(cell_keys(F.col("fp"), blocks, radius)).alias("key")), "routed")
+    routed, routed_uri = common.save(reps.select("fp", F.explode(cell_keys(F.col("fp"), blocks, radius)).alias("key")), "routed")
     hot, hot_uri = common.save(routed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "hot")
     parts = F.coalesce(F.ceil(F.col("n") / CELL_ROWS), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
@@ -193,23 +203,22 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
         .withColumn("parts", parts)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "rep")
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
     )
     links = cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda b: _cells(b, radius), "u long, v long")
     roots, roots_uri = common.components(links)
-    classes, _ = common.save(
-        reps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component")), "classes"
-    )
+    classes, classes_uri = common.save(reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
     common.drop(spark, reps_uri, routed_uri, hot_uri, roots_uri)
-    component = F.when(F.col("component") < common.NO_ID, F.col("component"))
-    return prints.join(classes, "fp").select("id", "fp", component.alias("component"))
-
-
-def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component; of rows that repeat an id, one. Rows without id stay."""
-    kept = near_duplicates(docs, radius, shingle, id_col, text_col).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept, _ = common.save(kept, "kept")
-    repeated, _ = common.save(docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(id_col).where(F.col(id_col).isNotNull()), "repeated")
-    single = docs.join(kept, id_col, "left_semi")
-    many = single.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return single.join(repeated, id_col, "left_anti").unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))
+    return classes, classes_uri
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component): every row with its fingerprint and the smallest id that links reach from it."""
+    prints, _ = common.save(fingerprints(docs, shingle, id_col, text_col), "prints")
+    classes, classes_uri = linked(prints, radius)
+    # the smallest id of each fingerprint, then of each component: both sides of the joins are distinct in their key
+    low = prints.groupBy("fp").agg(F.min("id").alias("low")).join(classes, "fp")
+    low, low_uri = common.save(low, "low")
+    named, _ = common.save(low.join(low.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component"), "named")
+    common.drop(docs.sparkSession, classes_uri, low_uri)
+    return prints.join(named, "fp").select("id", "fp", "component")

@@ -1,46 +1,42 @@
-"""Near copies by the similarity of their word shingles: cells of minima propose pairs, whole shingle sets decide.
+"""One document of each group of near copies: SimHash groups propose, whole shingle sets decide.
 
 A text is the set of its shingles of five words (lower case, split at ASCII white space; a shorter text is one
-shingle). Two texts are near copies if their sets have a Jaccard similarity of `least` or more. Exact copies are one
-node first. Every node goes into BANDS cells, each keyed by ROWS minima of the set under permutations; two sets of
-similarity s share a cell with probability 1 - (1 - s^ROWS)^BANDS. Pairs of a cell are verified on the whole sets in
-two rounds: the first compares each member with the smallest of the cell, which joins a large group by a pair for each
+shingle). Two texts are near copies if their sets have a Jaccard similarity of `least` or more. The SimHash operator, over
+fingerprints of these shingles, gives groups that link at RADIUS bits by its Gray-order index. Its links miss most pairs
+from similarity 0.8 to 0.95 and hold some below, so they propose and are completed: a text goes into the cell of its SimHash
+group and into BANDS cells, each keyed by ROWS minima of its set; two sets of similarity s share one of these with
+probability 1 - (1 - s^ROWS)^BANDS. Texts that agree in fingerprint and all minima count as one. Pairs of a cell are verified on the whole
+sets in two rounds: the first compares each member with the smallest of the cell, which joins a large group by a pair for each
 member; the second compares, inside tasks, all members of a cell that are not in one component yet. So each pair that shares a cell is
 verified or already joined.
 
 Defined cases: null and blank texts are copies of each other. Rows are told apart by an internal number, the id only
-chooses which row of a component stays: the smallest id, rows without id last.
+chooses which row of a component stays: the smallest id, rows without id last. All columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 BANDS, ROWS = 24, 5
+SHINGLE, RADIUS = 5, 4
 #: Shingles whose permuted hashes are held at once.
-PART = 4096
+PART = 1024
 #: Members of a cell that one task compares; larger cells are dealt out in salted parts.
-CELL_ROWS = 512
+CELL_ROWS = 256
 _DRAWS = np.random.default_rng(7).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
 _FLIP, _TIMES, _MIX = _DRAWS[0], _DRAWS[1] | np.uint64(1), (_DRAWS[2] | np.uint64(1)).reshape(BANDS, ROWS)
 
 
-def shingles(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    line = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1]
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((h(line[s:e], 42) for s, e in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; those of a blank text are one that no other text has."""
+    return np.unique(np.concatenate([*simhash.hashes(text, size)] or [np.zeros(1, np.uint64)]))
 
 
 def cells(own: np.ndarray) -> np.ndarray:
@@ -52,18 +48,25 @@ def cells(own: np.ndarray) -> np.ndarray:
     return ((key ^ key >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _cells(batches):
+def _sketches(batches):
     common.resident("similar", lambda: None)
-    for pdf in batches:
-        yield pd.DataFrame({"node": pdf["node"], "cells": [cells(shingles(t)) for t in pdf["text"]]})
+    for batch in common.slices(batches):
+        prints, found = [], []
+        for text in batch.column("text").to_pylist():
+            own = [*simhash.hashes(text, SHINGLE)]
+            prints.append(simhash.majority(own))
+            found.append(cells(np.unique(np.concatenate(own or [np.zeros(1, np.uint64)]))))
+        yield common.record_batch(id=batch.column("id"), node=batch.column("node"), fp=np.array(prints, np.uint64).view(np.int64), cells=_lists(found))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
 def _sets(batches):
     common.resident("similar", lambda: None)
-    for pdf in batches:
-        for at in range(0, len(pdf), 200):  # sets are as large as texts
-            part = pdf.iloc[at : at + 200]
-            yield pd.DataFrame({"node": part["node"], "own": [shingles(t).view(np.int64) for t in part["text"]]})
+    for batch in common.slices(batches, most=1 << 20):  # sets are as large as texts
+        yield common.record_batch(node=batch.column("node"), own=_lists([shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]))
 
 
 def link_apart(node: np.ndarray, label: np.ndarray, own: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +118,7 @@ def _apart(batches, least: float):
 
 
 def shingle_sets(nodes: DataFrame, texts: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    return common.save(texts.join(nodes.distinct(), "node", "left_semi").mapInPandas(_sets, "node long, own array<long>"), tag)
+    return common.save(texts.join(nodes.distinct(), "node", "left_semi").mapInArrow(_sets, "node long, own array<long>"), tag)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, str]:
@@ -131,18 +134,22 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFram
 
 def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies: the one of smallest id, and of rows without id if there is no other."""
-    spark = docs.sparkSession
-    rows, _ = common.save(docs.withColumn("node", F.monotonically_increasing_id()), "rows")
-    texts = rows.select("node", F.col(text_col).alias("text"))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "node"))
-    digest = F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
-    copies = rows.select(F.col(id_col), "node", F.col(text_col).alias("text")).select(id_col, "node", digest[0].alias("d1"), digest[1].alias("d2"))
-    copies, copies_uri = common.save(copies.groupBy("d1", "d2").agg(first.alias("best")).select(F.col("best.node").alias("node"), "best"), "copies")
-    sketched, sketched_uri = common.save(texts.mapInPandas(_cells, "node long, cells array<long>"), "sketches")
-    routed = sketched.join(copies.select("node"), "node", "left_semi").select("node", F.explode("cells").alias("cell"))
+    spark, key = docs.sparkSession, common.free(docs, "node")
+    rows, _ = common.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(key).alias("node"), F.col(text_col).alias("text"))
+    numbered = rows.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("node"), F.col(text_col).alias("text"))
+    sketched, sketched_uri = common.save(numbered.mapInArrow(_sketches, "id long, node long, fp long, cells array<long>"), "sketches")
+    classes, classes_uri = simhash.linked(sketched, RADIUS)
+
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node"))
+    copies = sketched.groupBy("fp", "cells").agg(best.alias("best")).join(classes, "fp")
+    group = F.xxhash64(F.lit("simhash"), "root")
+    groups, groups_uri = common.save(copies.select("best.*", F.array_append("cells", group).alias("cells")), "groups")
+    common.drop(spark, classes_uri)
+
+    routed = groups.select("node", F.explode(F.array_distinct("cells")).alias("cell"))
     shared = routed.groupBy("cell").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("cell", "low")
     members, members_uri = common.save(routed.join(shared, "cell"), "members")
-
     pairs, pairs_uri = common.save(members.where("node > low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
     near, near_uri = verified(pairs, texts, least)
     roots, roots_uri = common.components(near)
@@ -162,7 +169,9 @@ def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     more, more_uri = common.save(links, "apart-links")
     final, final_uri = common.components(near.unionByName(more))
 
-    kept = copies.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("best").alias("best")).select("best.node")
-    kept, _ = common.save(kept, "kept")
-    common.drop(spark, copies_uri, sketched_uri, members_uri, pairs_uri, near_uri, roots_uri, labelled_uri, dealt_uri, sets_uri, more_uri, final_uri)
-    return rows.join(kept, "node", "left_semi").select(docs.columns)
+    smallest = F.min(F.struct("last", "id", "node"))
+    kept = groups.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(smallest.alias("best")).select("best.node")
+    # what goes is the shorter list
+    gone, _ = common.save(sketched.select("node").join(kept, "node", "left_anti"), "gone")
+    common.drop(spark, groups_uri, sketched_uri, members_uri, pairs_uri, near_uri, roots_uri, labelled_uri, dealt_uri, sets_uri, more_uri, final_uri)
+    return rows.join(gone.withColumnRenamed("node", key), key, "left_anti").select(docs.columns)

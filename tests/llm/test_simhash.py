@@ -79,8 +79,14 @@ def test_components_match_brute_force(spark, monkeypatch, rows, mean):
     fps = [plain_fingerprint(t) for _, t, _ in rows]
     want = plain_components([i for i, _, _ in rows], fps)
     assert got == sorted((str(row[0]), fp, str(c)) for row, fp, c in zip(rows, fps, want, strict=True))
-    kept = [x["doc_id"] for x in simhash.one_of_each(df).collect()]
-    assert sorted(str(k) for k in kept) == sorted([str(i) for i in {c for c in want if c is not None}] + ["None"] * 2)
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    ids = [-(1 << 63), 1 << 62, (1 << 62) + 5, (1 << 63) - 1, 7, None]
+    texts = ["a b c d e f", "g h i j k l", "g h i j k l", "m n o p q", "g h i j k l", "a b c d e f"]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {-(1 << 63): -(1 << 63), 1 << 62: 7, (1 << 62) + 5: 7, (1 << 63) - 1: (1 << 63) - 1, 7: 7, None: -(1 << 63)}
 
 
 def test_empty_table(spark):
