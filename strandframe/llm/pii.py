@@ -5,8 +5,9 @@ characters with a linear-chain CRF on top, trained here in numpy on labelled spa
 sample of documents, and generated spans (also in forms that the patterns miss, such as phone numbers without a
 plus sign) set into stretches of those documents, beside generated numbers that are no personal data. Every
 kind holds a digit or an @ sign, so windows are laid over the stretches around such characters, which loses none. Windows
-overlap by half; the posteriors of a character in its windows are averaged, and one Viterbi pass over each
-stretch decides. Spans found so are added where no base span is; base spans stay.
+overlap by half; the scores that a character has in its windows are averaged, those in a window's middle counting most, and
+one pass over each stretch, with the learned transitions, gives its posteriors and its best tags. Long stretches are decided in
+blocks with context on both sides. Spans found so are added where no base span is; base spans stay.
 
 Defined cases: a null text is empty and has no spans. Positions are code points, ends exclusive. Rows that repeat
 are treated alike; very long texts and digit runs take linear time. Other columns are ignored, or kept by
@@ -18,10 +19,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents sampled and stretches that the tagger is trained on at most, and its steps.
 SAMPLE_DOCS, STRETCHES, STEPS = 1500, 1500, 260
 WIDTH, HIDDEN, REACH = 64, 20, 40
+#: Characters that a block decides, and characters of context on each side of them.
+CORE, CONTEXT = 384, 64
+#: Blocks that are decided together.
+BLOCKS = 256
 #: Mean posterior that an added span needs, and digits a phone number needs.
 SURE, PHONE_DIGITS = 0.8, (9, 15)
 
@@ -188,9 +194,6 @@ class Tagger:
         self.lstm_back("b", x[:, ::-1], back, into[::-1][:, :, HIDDEN:], grads)
         return grads
 
-    def posteriors(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([forward_backward(self.scores(x[lo : lo + 512])[0], self.p["trans"]) for lo in range(0, len(x), 512)])
-
     def fit(self, x: np.ndarray, tags: np.ndarray, steps: int, seed: int = 5) -> Tagger:
         rng = np.random.default_rng(seed)
         mean = {n: np.zeros_like(v) for n, v in self.p.items()}
@@ -268,7 +271,7 @@ def _trained(texts: tuple[str, ...], steps: int) -> Tagger:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Tagger:
     """Train on those documents of a bounded sample that hold a digit or an @ sign."""
-    chosen = common.sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), SAMPLE_DOCS, "id")
+    chosen = common.sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), SAMPLE_DOCS, "id", "text")
     return _trained(tuple(r["text"] for r in chosen if r["text"] and MARKS.search(r["text"])), steps)
 
 
@@ -287,56 +290,101 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _viterbi(post: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    score, back = np.log(post + 1e-9), np.zeros(post.shape, np.int64)
-    best = score[0]
-    for s in range(1, len(post)):
-        ways = best[:, None] + trans
-        back[s] = ways.argmax(0)
-        best = ways.max(0) + score[s]
-    tags = np.empty(len(post), np.int64)
-    tags[-1] = best.argmax()
-    for s in range(len(post) - 1, 0, -1):
-        tags[s - 1] = back[s, tags[s]]
+def viterbi(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best tags of sequences (row, place, tag) of scores under the transitions."""
+    n, steps, k = score.shape
+    back, tags = np.zeros((steps, n, k), np.int8), np.empty((n, steps), np.int8)
+    best = score[:, 0]
+    for s in range(1, steps):
+        ways = best[:, :, None] + trans
+        back[s] = ways.argmax(1)
+        best = ways.max(1) + score[:, s]
+    tags[:, -1] = best.argmax(1)
+    for s in range(steps - 1, 0, -1):
+        tags[:, s - 1] = back[s][np.arange(n), tags[:, s]]
     return tags
 
 
+#: A character's weight in a window: most in the middle.
+_WEIGHT = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
+
+
+def scores_of(tagger: Tagger, parts: list[np.ndarray]) -> np.ndarray:
+    """Scores (part, place, tag) of stretches of character classes, averaged over windows; behind a stretch's end nothing is tagged."""
+    half = WIDTH // 2
+    longest = max(map(len, parts))
+    wide = max(WIDTH, -(-longest // half) * half)
+    x = np.full((len(parts), wide), PAD, np.int16)
+    for k, part in enumerate(parts):
+        x[k, : len(part)] = part
+    starts = range(0, wide - half, half)
+    filled = np.fromiter(map(len, parts), np.int64, len(parts))
+    out = np.zeros((len(parts), wide, len(KINDS) + 1), np.float32)
+    seen = np.zeros((len(parts), wide, 1), np.float32)
+    # the windows of all parts as one list, in batches of bounded size; those behind a part's end are left out
+    pairs = [(k, s) for s in starts for k in np.flatnonzero((filled > s + half) | (s == 0)).tolist()]
+    for lo in range(0, len(pairs), 512):
+        row, at = np.array(pairs[lo : lo + 512]).T
+        places = at[:, None] + np.arange(WIDTH)
+        own = tagger.scores(x[row[:, None], places])[0] * _WEIGHT[:, None]
+        np.add.at(out, (row[:, None], places), own)
+        np.add.at(seen, (row[:, None], places), _WEIGHT[:, None])
+    out /= np.maximum(seen, 1)
+    out = out[:, :longest]
+    behind = np.arange(longest) >= filled[:, None]
+    out[behind] = -20
+    out[behind, 0] = 0
+    return out
+
+
+def tagged(tagger: Tagger, text: list[np.ndarray], units: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(tags, posteriors of these tags) of the cores of units (text, first, end) of character classes, each with its context."""
+    out: list = [None] * len(units)
+    order = sorted(range(len(units)), key=lambda u: units[u][2] - units[u][1])  # of like length together
+    for lo in range(0, len(order), BLOCKS):
+        own = order[lo : lo + BLOCKS]
+        spans = [(max(0, a - CONTEXT), a, b, min(len(text[k]), b + CONTEXT)) for k, a, b in (units[u] for u in own)]
+        score = scores_of(tagger, [text[units[u][0]][f:t] for u, (f, _, _, t) in zip(own, spans, strict=True)])
+        post = forward_backward(score, tagger.p["trans"])
+        rows = np.flatnonzero(post[:, :, 1:].max((1, 2)) >= SURE)
+        tags = np.zeros(post.shape[:2], np.int8)
+        if len(rows):
+            tags[rows] = viterbi(score[rows], tagger.p["trans"])
+        for r, (u, (f, a, b, _)) in enumerate(zip(own, spans, strict=True)):
+            mine = tags[r, a - f : b - f]
+            out[u] = mine, post[r, np.arange(a - f, b - f), mine]
+    return out
+
+
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """Spans that the tagger finds beside the base spans, for each text."""
-    places = [(k, a, b) for k, text in enumerate(texts) for a, b in regions(text)]
+    stretches_, coded = [], []
+    for k, text in enumerate(texts):
+        for a, b in regions(text):
+            stretches_.append((k, a))
+            coded.append(classes(text[a:b]))
+    units = [(r, lo, min(lo + CORE, len(c))) for r, c in enumerate(coded) for lo in range(0, len(c), CORE)]
+    found = tagged(tagger, coded, units)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    bar = np.log(np.maximum(np.exp(tagger.p["trans"] - tagger.p["trans"].max()), 1e-3))
-    for lo in range(0, len(places), 2000):
-        part = places[lo : lo + 2000]
-        lengths = [b - a for _, a, b in part]
-        starts = [list(range(0, max(1, n - WIDTH // 2), WIDTH // 2)) for n in lengths]
-        x = np.full((sum(map(len, starts)), WIDTH), PAD)
-        row = 0
-        for (k, a, b), own in zip(part, starts, strict=True):
-            c = classes(texts[k][a:b])
-            for s in own:
-                piece = c[s : s + WIDTH]
-                x[row, : len(piece)] = piece
-                row += 1
-        post, row = tagger.posteriors(x), 0
-        for (k, a, b), own in zip(part, starts, strict=True):
-            total, seen = np.zeros((b - a, post.shape[2])), np.zeros(b - a)
-            for s in own:
-                n = min(WIDTH, b - a - s)
-                total[s : s + n] += post[row, :n]
-                seen[s : s + n] += 1
-                row += 1
-            mean = np.round(total / seen[:, None], 4)
-            if mean[:, 1:].max() < SURE:
+    taken = {}  # of each text its base spans by start, with the furthest end so far
+    at = 0
+    for r, (k, begin) in enumerate(stretches_):
+        n = -(-len(coded[r]) // CORE)
+        tags, sure = (np.concatenate([f[i] for f in found[at : at + n]]) for i in (0, 1))
+        at += n
+        if not tags.any():
+            continue
+        if k not in taken:
+            spans = sorted((a, b) for _, a, b in base[k])
+            taken[k] = [a for a, _ in spans], np.maximum.accumulate([b for _, b in spans] or [0])
+        edges = np.flatnonzero(np.diff(tags)) + 1
+        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)], strict=True):
+            if not tags[s] or round(float(sure[s:e].mean()), 4) < SURE:
                 continue
-            tags = _viterbi(mean, bar)
-            edges = np.flatnonzero(np.diff(tags)) + 1
-            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(tags)], strict=True):
-                kind = int(tags[s])
-                if not kind or mean[s:e, kind].mean() < SURE:
-                    continue
-                span = _sound(KINDS[kind - 1], texts[k], a + s, a + e)
-                if span and not any(span[1] < y and x_ < span[2] for _, x_, y in base[k] + out[k]):
+            span = _sound(KINDS[int(tags[s]) - 1], texts[k], begin + s, begin + e)
+            if span:
+                before = bisect_left(taken[k][0], span[2])  # base spans that start before its end
+                if not before or taken[k][1][before - 1] <= span[1]:
                     out[k].append(span)
     return out
 
@@ -362,7 +410,7 @@ def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-FOUND = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
 def _scan(tagger: Tagger, texts: list[str]):
@@ -376,14 +424,12 @@ def find(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         common.resident("pii", lambda: None)
-        for pdf in batches:
-            base, more = _scan(shared.value, [t or "" for t in pdf["text"]])
-            rows = [(*(sum(k == kind for k, _, _ in b) for kind in KINDS), hashlib.sha256(written(b).encode()).hexdigest(), written(b + m)) for b, m in zip(base, more, strict=True)]
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in FOUND.split(", ")][1:])
-            out.insert(0, "id", pdf["id"].to_numpy())
-            yield out
+        for batch in common.slices(batches, most=1 << 20):
+            base, more = _scan(shared.value, [t or "" for t in batch.column("text").to_pylist()])
+            counts = {f"n_{kind}": np.array([sum(k == kind for k, _, _ in b) for b in base], np.int64) for kind in KINDS}
+            yield common.record_batch(doc_id=batch.column("id"), **counts, base_sha256=[hashlib.sha256(written(b).encode()).hexdigest() for b in base], spans=[written(b + m) for b, m in zip(base, more, strict=True)])
 
-    return common.unkeyed(common.keyed(docs, id_col, text_col).mapInPandas(run, FOUND).withColumnRenamed("id", "doc_id"))
+    return common.id_text(docs, id_col, text_col).mapInArrow(run, FOUND)
 
 
 def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -401,20 +447,16 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: s
         return "".join([*parts, text[at:]])
 
     def run(batches):
-        import pyarrow as pa
-
         common.resident("pii", lambda: None)
-        for batch in batches:
-            at, chars = batch.schema.get_field_index(text_col), batch.schema.get_field_index(chars_col)
-            for lo in range(0, batch.num_rows, 500):  # few texts as Python strings at once
-                part = batch.slice(lo, 500)
-                texts = part.column(at).to_pylist()
-                base, more = _scan(shared.value, [t or "" for t in texts])
-                done = [cover(t, b + m) for t, b, m in zip(texts, base, more, strict=True)]
-                columns = list(part.columns)
-                columns[at] = pa.array(done, batch.schema.field(at).type)
-                if chars >= 0:
-                    columns[chars] = pa.array([None if t is None else len(t) for t in done], batch.schema.field(chars).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for part in common.slices(batches, text_col, 1 << 20):
+            at, chars = part.schema.get_field_index(text_col), part.schema.get_field_index(chars_col)
+            texts = part.column(at).to_pylist()
+            base, more = _scan(shared.value, [t or "" for t in texts])
+            done = [cover(t, b + m) for t, b, m in zip(texts, base, more, strict=True)]
+            columns = list(part.columns)
+            columns[at] = pa.array(done, part.schema.field(at).type)
+            if chars >= 0 and pa.types.is_integer(part.schema.field(chars).type):
+                columns[chars] = pa.array([None if t is None else len(t) for t in done], part.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)

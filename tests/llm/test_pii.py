@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from itertools import product
 
 import numpy as np
 import pytest
@@ -74,11 +76,61 @@ def tagger(spark):
 def test_held_out_stretches(tagger):
     texts = ["plain words of a page that nobody has seen before, set in lines. " * 3]
     x, tags = pii.stretches(texts, 400, seed=99)
-    found = tagger.posteriors(x).argmax(2)
+    found = pii.viterbi(tagger.scores(x)[0], tagger.p["trans"])
     some = tags > 0
     assert (found == tags)[some].mean() > 0.93 and (found == tags)[~some].mean() > 0.98
 
 
+def test_best_tags_and_posteriors_equal_those_of_all_sequences():
+    rng = np.random.default_rng(4)
+    score, trans = rng.normal(size=(3, 5, 3)) * 2, rng.normal(size=(3, 3))
+    ways = np.array(list(product(range(3), repeat=5)))
+    for row, tags, post in zip(score, pii.viterbi(score, trans), pii.forward_backward(score, trans), strict=True):
+        weight = np.array([row[range(5), w].sum() + trans[w[:-1], w[1:]].sum() for w in ways])
+        assert tags.tolist() == ways[weight.argmax()].tolist()
+        p = np.exp(weight - weight.max())
+        assert np.allclose(post, [[p[ways[:, s] == k].sum() / p.sum() for k in range(3)] for s in range(5)])
+
+
+def test_windows_and_blocks_equal_one_plain_pass(tagger, monkeypatch):
+    r = random.Random(7)
+    text = "".join(r.choice(["word ", "call 212-555-0187 ", "+1 (212) 555-0100, ", "9 ", "x@y.org "]) for _ in range(160))
+    c = pii.classes(text)
+    got = pii.scores_of(tagger, [c])[0]
+    total, seen = np.zeros(got.shape), np.zeros((len(c), 1))
+    for s in range(0, len(c), pii.WIDTH // 2):
+        piece = c[s : s + pii.WIDTH]
+        if s and len(c) - s <= pii.WIDTH // 2:
+            break
+        x = np.full((1, pii.WIDTH), pii.PAD)
+        x[0, : len(piece)] = piece
+        weight = np.array([min(i + 1, pii.WIDTH - i) for i in range(len(piece))])[:, None]
+        total[s : s + len(piece)] += tagger.scores(x)[0][0, : len(piece)] * weight
+        seen[s : s + len(piece)] += weight
+    assert np.allclose(got, total / seen, atol=1e-4)
+    whole = pii.tagged(tagger, [c], [(0, 0, len(c))])[0][0]
+    assert len(c) > 3 * pii.CORE
+    cores = pii.tagged(tagger, [c], [(0, lo, min(len(c), lo + pii.CORE)) for lo in range(0, len(c), pii.CORE)])
+    assert (np.concatenate([t for t, _ in cores]) == whole).mean() > 0.995
+
+
+@pytest.mark.parametrize("form", [" call me at 212-555-0187 please or else", " ring (212) 555-0187 now, ", " or 0049 212 5550187 and so on"])
+def test_repeated_forms_are_found_whatever_their_place(tagger, form):
+    base, more = pii._scan(tagger, [form * 300, *("word " * k + form for k in range(30))])
+    assert len(more[0]) >= 0.9 * 300
+    assert sum(bool(m) for m in more[1:]) >= 27
+
+
+def test_time_is_linear_in_the_text(tagger):
+    began = time.process_time()
+    text = " call me at 212-555-0187 please or else" * 1000
+    pii._scan(tagger, [text])
+    one = time.process_time() - began
+    began = time.process_time()
+    pii._scan(tagger, [text * 4])
+    assert time.process_time() - began < 8 * one + 1
+
+
 def test_other_forms_are_added_and_plain_text_is_left(tagger):
     texts = ["Call me at 212-555-0187 today, or write to a@b.org.", "Nothing here but 12 apples and 2024.", "token = \"c4fedbca8ffabf\" AKIAKGWVFFFVU2VQC", ""]
     base, more = pii._scan(tagger, texts)
