@@ -4,14 +4,15 @@ STAGES run in order. Each takes (spark, docs, sf_dir), where docs is what the st
 written as Parquet and reread as the next one's docs. All but the last return the columns of documents.
 
 1. language: documents without letters, or whose words neither share a language nor are each sure of one, go.
-2. simhash: of each group of documents linked by similarity 0.8 of five-word shingles (op5's fingerprints with 4 bits would
-   miss most of these links) the one with the smallest doc_id stays.
+2. simhash: of each group of documents linked by similarity 0.8 of five-word shingles the one with the smallest doc_id
+   stays. Groups of op5's index and cells of minima propose, whole shingle sets decide.
 3. pii: personal data in the texts is replaced by its kind in brackets; n_chars follows.
 4. packing: texts become token ids, cut and packed into sequences of 1024; the rows are the placed pieces
    with their ids (little-endian unsigned 32-bit integers).
 
-Null texts go in the first stage (they have no letters). Rows that repeat a doc_id are one document after the second
-stage; rows without doc_id are never merged. An empty table gives an empty result.
+Null texts go in the first stage (they have no letters). Rows are told apart by their texts, so rows that repeat a doc_id
+with different texts stay; of near copies without doc_id one stays. Further columns, whatever their names, go along
+to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ MIN_SIMILARITY = 0.8
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clear = (F.col("lang_score") >= MIN_SCORE) | (F.col("lang_certainty") >= MIN_CERTAINTY)
-    return langid.annotate(docs, langid.fit(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & clear).select(docs.columns)
+    names = tuple(common.free(docs, n) for n in langid.ADDED)
+    pred, score, certainty = (F.col(n) for n in names)
+    clear = (score >= MIN_SCORE) | (certainty >= MIN_CERTAINTY)
+    return langid.annotate(docs, langid.fit(docs), names=names).where((pred != langid.UNKNOWN) & clear).select(docs.columns)
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
