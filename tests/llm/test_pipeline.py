@@ -2,12 +2,13 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from strandframe.llm import common, langid, pii
 
-from .test_simhash import plain_components, plain_fingerprint
+from .test_similar import plain_survivors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,9 +23,9 @@ def test_run_equals_plain_stages(spark):
         if lang != "und" and score >= pipeline.MIN_SCORE:
             kept.append(r)
     assert len(kept) > 0.95 * len(rows)
-    parts = plain_components([r["doc_id"] for r in kept], [plain_fingerprint(r["text"]) for r in kept])
-    kept = [r for r, c in zip(kept, parts, strict=True) if r["doc_id"] == c]
-    assert len(kept) < len(rows)
+    stay = set(plain_survivors([(r["doc_id"], r["text"]) for r in kept]))
+    kept = [r for r in kept if r["doc_id"] in stay]
+    assert len(kept) == len(stay) < len(rows)
     stage3 = spark.createDataFrame(kept, docs.schema)
     tagger = pii.fit(stage3)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -67,6 +68,17 @@ def test_odd_rows(spark, tmp_path):
     assert pipeline.run(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_columns_whose_names_the_stages_use(spark, tmp_path):
+    docs = common.table(spark, DATA, "documents").limit(40)
+    names = ["lang_pred", "lang_score", "Lang_Certainty", "node", "id", "fp", "cells", "own", "u", "v", "rank", "at", "part", "length", "spans"]
+    more = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs, more = stage(spark, docs, DATA), stage(spark, more, DATA)
+        assert more.columns == [*docs.columns, *names]
+        assert sorted(map(tuple, more.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert sorted(pipeline.packing_stage(spark, more, DATA).select("doc_id", "piece", "ids_crc32").collect()) == sorted(pipeline.packing_stage(spark, docs, DATA).select("doc_id", "piece", "ids_crc32").collect())
+
+
 def test_clean_text_of_many_languages_stays(spark):
     docs = common.table(spark, DATA, "documents")
     texts = {}
