@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import atexit
 import os
 import shutil
 import sys
@@ -24,19 +25,26 @@ def _session() -> SparkSession:
     return spark
 
 
+def _scratch() -> str:
+    """A folder that goes when the command ends."""
+    path = tempfile.mkdtemp(prefix="strandframe-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def _input(spark: SparkSession, path: str) -> DataFrame:
     """Records of a path; - is standard input, spooled to a file first."""
     if path == "-":
-        with tempfile.NamedTemporaryFile(delete=False) as f:
+        path = os.path.join(_scratch(), "stdin")
+        with open(path, "wb") as f:
             shutil.copyfileobj(sys.stdin.buffer, f)
-        path = f.name
     return datasource.read(spark, path)
 
 
 def _output(records: DataFrame, args, kind: str) -> None:
     path = args.output
     if path == "-":
-        path = os.path.join(tempfile.mkdtemp(), "out")
+        path = os.path.join(_scratch(), "out")
     datasource.write_file(records, path, kind, args.wrap, args.compress)
     if args.output == "-":
         with open(path, "rb") as f:
@@ -49,6 +57,8 @@ def to_fasta(args) -> None:
     records = _input(_session(), path)
     if args.sample:
         records = records.where(F.col("sample") == args.sample)
+        if records.isEmpty():
+            raise SystemExit(f"the input has no sample {args.sample!r}: samples need an archive of several")
     _output(R.to_fasta_records(records, args.remove_dashes), args, "fasta")
 
 
@@ -67,7 +77,7 @@ def stats(args) -> None:
     rows = {r["filename"]: r for r in ST.assembly_stats(records, args.min_length).collect()}
     style = "tab" if args.tab else "tab_no_header" if args.tab_no_header else "greppy" if args.greppy else "human"
     order = ["combined"] if args.combine_inputs else args.files or ["-"]
-    sys.stdout.write(ST.render([rows[n] for n in order if n in rows], style))
+    sys.stdout.write(ST.render([rows[n] if n in rows else ST.empty_row(n) for n in order], style))
 
 
 def random_contigs(args) -> None:
@@ -76,7 +86,9 @@ def random_contigs(args) -> None:
 
 
 def perfect_reads(args) -> None:
-    if bool(args.output != "-") == bool(args.forward or args.reverse) and (args.forward or args.reverse):
+    if bool(args.forward) != bool(args.reverse):
+        raise SystemExit("paired reads require both -1 and -2")
+    if args.output != "-" and args.forward:
         raise SystemExit("give either -o, or both -1 and -2")
     refs = _input(_session(), args.input)
     o = G.ReadOptions(args.coverage, args.read_length, args.mean_insert, args.insert_std, args.no_n, args.seed)

@@ -9,13 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bulk
 from . import sequence as S
 
 ORF = "array<struct<start:int,end:int,frame:int,strand:string,seq:string>>"
+PLACES = "array<struct<start:int,end:int,frame:int,strand:string>>"
 
 
 @dataclass(frozen=True)
@@ -29,13 +31,13 @@ class OrfOptions:
         return {"ATG"} | {s.replace("U", "T").upper() for s in self.start_codons}
 
 
+#: Numbers of the bases in either case, -1 for all else.
+_BASE = bytes("ACGT".find({"U": "T"}.get(chr(b).upper(), chr(b).upper())) % 256 if b < 128 else 255 for b in range(256))
+
+
 def _codes(seq: str) -> np.ndarray:
     """Codon numbers at every place, -1 where a letter is none of ACGT."""
-    table = np.full(256, -1)
-    for k, letters in enumerate(("Aa", "Cc", "Gg", "TtUu")):
-        for c in letters:
-            table[ord(c)] = k
-    x = table[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    x = np.frombuffer(seq.encode("latin-1", "replace").translate(_BASE), np.int8).astype(np.int64)
     if len(x) < 3:
         return np.empty(0, int)
     return np.where((x[:-2] < 0) | (x[1:-1] < 0) | (x[2:] < 0), -1, 16 * x[:-2] + 4 * x[1:-1] + x[2:])
@@ -62,32 +64,40 @@ def strand_orfs(seq: str, starts: set[str], least: int) -> list[tuple[int, int,
     return out
 
 
-_TURN = str.maketrans(S.KEEP, S.COMPLEMENT)
 _NORMAL = str.maketrans("abcdefghijklmnopqrstuvwxyzU", "ABCDEFGHIJKLMNOPQRSTTVWXYZT")
+_TURNED = bytes(ord(S.COMPLEMENT[S.KEEP.index(chr(b))]) if chr(b) in S.KEEP else ord("N") for b in range(256))
 
 
 def turned(seq: str) -> str:
-    return "".join(c if c in S.KEEP else "N" for c in seq).translate(_TURN)[::-1]
+    return seq.encode("latin-1", "replace").translate(_TURNED)[::-1].decode("latin-1")
+
 
+def find_orfs(seq: Column, options: OrfOptions = OrfOptions(), text: bool = True) -> Column:
+    """All ORFs, forward strand first; places are on the forward strand.
 
-def find_orfs(seq: Column, options: OrfOptions = OrfOptions()) -> Column:
-    """All ORFs, forward strand first; places are on the forward strand."""
+    Without text only places are returned: the texts of nested ORFs take quadratic space, and places can be cut where they are needed.
+    """
     starts, least, both = options.starts(), options.min_length, options.both_strands
 
-    @F.pandas_udf(ORF)
-    def scan(seqs: pd.Series) -> pd.Series:
-        out = []
-        for s in seqs:
-            if s is None:
-                out.append(None)
-                continue
-            s = s.translate(_NORMAL)
-            found = [(a, e, f, "+", s[a:e]) for a, e, f in strand_orfs(s, starts, least)]
-            if both:
-                r, n = turned(s), len(s)
-                found += [(n - e, n - a, f, "-", r[a:e]) for a, e, f in strand_orfs(r, starts, least)]
-            out.append([dict(zip(("start", "end", "frame", "strand", "seq"), x, strict=True)) for x in found])
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(ORF if text else PLACES)
+    def scan(seqs: pa.Array) -> pa.Array:
+        start, end, frame, forward, cut, edge = [], [], [], [], [], [0]
+        for s in seqs.to_pylist():
+            if s is not None:
+                s = s.translate(_NORMAL)
+                for own in (True, False)[: 1 + both]:
+                    t, n = s if own else turned(s), len(s)
+                    for a, e, f in strand_orfs(t, starts, least):
+                        start.append(a if own else n - e)
+                        end.append(e if own else n - a)
+                        frame.append(f)
+                        forward.append(own)
+                        if text:
+                            cut.append(t[a:e])
+            edge.append(len(start))
+        strand = pa.DictionaryArray.from_arrays(pa.array([0 if f else 1 for f in forward], pa.int8()), pa.array(["+", "-"])).cast(pa.string())
+        columns = [pa.array(c, pa.int32()) for c in (start, end, frame)] + [strand] + ([pa.array(cut, pa.string())] if text else [])
+        return bulk.lists(pa.StructArray.from_arrays(columns, names=["start", "end", "frame", "strand", "seq"][: len(columns)]), np.array(edge), seqs.is_valid())
 
     return scan(seq)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bulk
+
 # IUPAC complements, in both cases, and the gap.
 KEEP = "AaCcGgTtUuRrYySsWwKkMmBbDdHhVvNn-"
 COMPLEMENT = "TtGgCcAaAaYyRrSsWwMmKkVvHhDdBbNn-"
@@ -68,6 +72,35 @@ def translate(seq: Column | str, code: int = 1) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("..."), F.lit(0)), lambda c: F.get(by_number, c.cast("int"))), "")
 
 
+def translations(seq: Column | str, codes: tuple[int, ...] = CODES) -> Column:
+    """struct(code_1, ...) of the amino acids of frame 0 by several codes: the same as `translate`, for long sequences.
+
+    Codons of a whole Arrow batch are numbered by numpy at once and looked up in one table for each code.
+    """
+    tables = []
+    for code in codes:
+        acids, table = np.full(125, ord("X"), np.uint8), codon_table(code)
+        for codon, acid in table.items():
+            acids[sum(BASES.index(c) * f for c, f in zip(codon, (25, 5, 1), strict=True))] = ord(acid)
+        tables.append(acids if table else None)
+    digit = bytes(BASES.find({"U": "T"}.get(chr(b).upper(), chr(b).upper())) % 5 if b < 128 else 4 for b in range(256))
+    kind = "struct<" + ",".join(f"code_{c}:string" for c in codes) + ">"
+
+    @F.arrow_udf(kind)
+    def run(seqs: pa.Array) -> pa.Array:
+        d, edge = bulk.letters(seqs)
+        base = bulk.mapped(d, digit).astype(np.intp)
+        n = np.diff(edge) // 3
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(edge[:-1] - 3 * ends[:-1], n) + 3 * np.arange(ends[-1])
+        number = 25 * base[at] + 5 * base[at + 1] + base[at + 2]
+        valid = seqs.is_valid()
+        one = bulk.strings(np.full(len(n), ord("X"), np.uint8), np.arange(len(n) + 1), valid)
+        return pa.StructArray.from_arrays([one if t is None else bulk.strings(t[number], ends, valid) for t in tables], names=[f"code_{c}" for c in codes])
+
+    return run(_col(seq))
+
+
 def is_start_codon(codon: Column | str, code: int = 1) -> Column:
     return normalize_dna(codon).isin(*STARTS[code]) if code in STARTS else F.lit(False)
 
@@ -193,6 +226,34 @@ def read_number(stem: Column | str) -> Column:
     return F.when(number != "", F.concat(F.lit("_"), number)).otherwise("")
 
 
+# The endings of read files that are cut off whole, longest first.
+READ_ENDINGS = (".fastq.gz", ".fq.gz", ".fastq", ".fq")
+
+
+def read_extension(name: Column | str) -> Column:
+    """The longest known ending of a read file, in any case, else the last dot and what follows it; empty if there is none."""
+    name = _col(name)
+    known = "|".join(e.replace(".", "[.]") for e in READ_ENDINGS)
+    return F.regexp_extract(name, f"(?i)({known}|[.][^./]*)$", 1)
+
+
+def parse_bytes(text: Column | str) -> Column:
+    """A count of bytes as written, blanks around it allowed; null for anything that is no whole number."""
+    return F.trim(_col(text)).try_cast("long")
+
+
+def shell_quoted(word: Column | str) -> Column:
+    """A word as a POSIX shell reads it back: plain words as they are, all others in single quotes."""
+    word = _col(word)
+    return F.when(word.rlike("^[A-Za-z0-9_@%+=:,./-]+$"), word).otherwise(F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+
+
+def version_parts(version: Column | str) -> Column:
+    """array<int> of a version such as v1.2.3, null if it is none; arrays compare like the versions."""
+    text = F.trim(_col(version))
+    return F.when(text.rlike("^v?[0-9]{1,9}[.][0-9]{1,9}[.][0-9]{1,9}$"), F.transform(F.split(F.regexp_replace(text, "^v", ""), "[.]"), lambda x: x.cast("int")))
+
+
 def human_bytes(n: Column | str) -> Column:
     """Bytes as B, or with one decimal as KiB to TiB."""
     n = _col(n).cast("double")

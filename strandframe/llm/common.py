@@ -16,25 +16,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python stage works on at once; a single longer text comes alone.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: Characters of a sampled text that a model is trained on at most.
 SAMPLE_CHARS = 20_000
 
 _RESIDENT: dict = {}
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
 def trim() -> None:
     """Give freed memory back to the machine: workers live on from stage to stage."""
     gc.collect()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 def resident(key: object, build: Callable[[], object]):
     """What one operator keeps in a Python worker between tasks; what another operator kept there goes, as workers are shared."""
     if key not in _RESIDENT:
+        if libc := _libc():  # arrays from 256 KB on are returned as soon as they are freed, and small ones share one arena
+            libc.mallopt(-3, 1 << 18)
+            libc.mallopt(-8, 1)
         _RESIDENT.clear()
         pa.set_memory_pool(pa.system_memory_pool())
         trim()
@@ -97,14 +105,23 @@ def new_uri(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def save(df: DataFrame, tag: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write a table into the shared folder and read it back: lineage ends there, lost executors cost a reread."""
     spark = df.sparkSession
     uri = new_uri(spark, tag)
-    df.write.parquet(uri)
+    df.write.parquet(uri, compression=compression)
     return spark.read.schema(df.schema).parquet(uri), uri
 
 
+def load(uri: str) -> dict[str, np.ndarray]:
+    """The columns of a small saved table of numbers, for tasks."""
+    import pyarrow.parquet as pq
+
+    fs, path = open_fs(uri)
+    table = pq.read_table(path, filesystem=fs)
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
 def drop(spark: SparkSession, *uris: str) -> None:
     """Delete tables that no later result reads."""
     for uri in uris:

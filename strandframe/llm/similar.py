@@ -135,7 +135,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFram
 def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near copies: the one of smallest id, and of rows without id if there is no other."""
     spark, key = docs.sparkSession, common.free(docs, "node")
-    rows, _ = common.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    rows, _ = common.save(docs.withColumn(key, F.monotonically_increasing_id()), "rows", "zstd")
     texts = rows.select(F.col(key).alias("node"), F.col(text_col).alias("text"))
     numbered = rows.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("node"), F.col(text_col).alias("text"))
     sketched, sketched_uri = common.save(numbered.mapInArrow(_sketches, "id long, node long, fp long, cells array<long>"), "sketches")

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bulk
+
+
+_GAP = bytes(chr(b) in "-.Nn" for b in range(256))
+
 
 def gap_runs(seq: Column, min_run: int = 1) -> Column:
-    """array<struct<start, end>> of runs of - . N n of at least min_run characters."""
-    parts = F.split(seq, r"(?<=[-.Nn])(?=[^-.Nn])|(?<=[^-.Nn])(?=[-.Nn])")
-    start = F.expr("named_struct('at', 0, 'runs', cast(array() as array<struct<start:int,end:int>>))")
+    """array<struct<start, end>> of runs of - . N n of at least min_run characters, found in a whole Arrow batch at once."""
 
-    def step(acc, part):
-        end = acc["at"] + F.length(part)
-        hit = part.rlike("^[-.Nn]") & (F.length(part) >= max(1, min_run))
-        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["runs"]).alias("runs"))
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(seqs: pa.Array) -> pa.Array:
+        d, edge = bulk.letters(seqs)
+        gap = bulk.mapped(d, _GAP)
+        begins = np.zeros(len(d) + 1, bool)
+        begins[edge] = True  # runs end with their sequence
+        change = np.flatnonzero(np.diff(np.concatenate(([0], gap, [0]))) != 0)
+        cut = np.union1d(change, np.flatnonzero(begins))
+        start, end = cut[:-1], cut[1:]
+        own = (gap[start] == 1) & (end - start >= max(1, min_run))
+        start, end = start[own], end[own]
+        row = np.searchsorted(edge, start, "right") - 1
+        values = pa.StructArray.from_arrays([pa.array((x - edge[row]).astype(np.int32)) for x in (start, end)], names=["start", "end"])
+        return bulk.lists(values, np.searchsorted(start, edge), seqs.is_valid())
 
-    return F.aggregate(parts, start, step)["runs"]
+    return run(seq)
 
 
 def find_gaps(records: DataFrame, min_run: int = 1, key: str = "name") -> DataFrame:
-    """(key, start, end) of all gap runs; running sums over the exploded runs, so long sequences take linear time."""
-    parts = records.select(key, F.posexplode(F.split("seq", r"(?<=[-.Nn])(?=[^-.Nn])|(?<=[^-.Nn])(?=[-.Nn])")).alias("k", "part"))
-    sized = parts.select(key, "k", F.length("part").alias("size"), F.col("part").rlike("^[-.Nn]").alias("gap"))
-    end = F.sum("size").over(Window.partitionBy(key).orderBy("k"))
-    return sized.withColumn("end", end.cast("int")).where(F.col("gap") & (F.col("size") >= max(1, min_run))).select(key, (F.col("end") - F.col("size")).alias("start"), "end")
+    """(key, start, end) of all gap runs; sequences stay where they are."""
+    return records.select(key, F.inline(gap_runs(F.col("seq"), min_run)))
 
 
 def merge(intervals: DataFrame, key: str | None = None) -> DataFrame:

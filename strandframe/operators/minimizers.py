@@ -6,9 +6,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..functions import bulk
+
 
 @dataclass(frozen=True)
 class IndexOptions:
@@ -46,20 +51,15 @@ def hash64(x: np.ndarray) -> np.ndarray:
 BASE = np.full(256, 4, np.uint8)
 for _code, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"Tt")):
     BASE[list(_letters)] = _code
-ABSENT = (1 << 64) - 1
-
+ABSENT = np.uint64((1 << 64) - 1)
 
-def kmers(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the k-mer that ends at each base: (masked hash or ABSENT, strand, valid bases up to there).
 
-    Vectorized: words of both strands are built in k shifted additions.
-    """
-    code = BASE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+def _kmers(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for an array of base codes."""
     n = len(code)
+    at = np.arange(n, dtype=np.int32)
     good = code < 4
-    at = np.arange(n)
-    last_bad = np.maximum.accumulate(np.where(good, -1, at)) if n else at
-    valid = at - last_bad
+    valid = at - np.maximum.accumulate(np.where(good, np.int32(-1), at)) if n else at
     fore, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     c = np.where(good, code, 0).astype(np.uint64)
     for j in range(min(k, n)):  # the base j places before the end
@@ -68,65 +68,119 @@ def kmers(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mask = np.uint64((1 << 2 * k) - 1)
     strand = (back < fore).astype(np.uint8)
     h = hash64(np.minimum(fore, back)) & mask
-    return np.where((valid >= k) & (fore != back), h, np.uint64(ABSENT)), strand, valid
+    h[(valid < k) | (fore == back)] = ABSENT
+    return h, strand, valid
 
 
-def sketch(seq: str, k: int, w: int) -> list[tuple[int, int, int]]:
-    """(hash, position, strand) of the minimizers in the order they are settled.
+def kmers(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the k-mer that ends at each base: (masked hash or ABSENT, strand, valid bases up to there).
+
+    Vectorized: words of both strands are built in k shifted additions.
+    """
+    return _kmers(BASE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)], k)
+
+
+def settled(h: np.ndarray, valid: np.ndarray, last: np.ndarray, k: int, w: int) -> np.ndarray:
+    """Ends of the minimizers among k-mers that end at each base, in the order they are settled; last marks the ends of sequences.
 
-    A window holds the last w k-mers. While the least one is in the window it is pending; it is settled when a
-    k-mer at most as large arrives or it leaves the window. Ties of it in the window are settled with it. An
-    ambiguous base drops what is pending, and at the end the pending one is settled without a full window.
+    A window is the last w k-mers of an unbroken stretch, and its minimizer the rightmost least one. When a full window follows in which
+    another k-mer is that, the one before is settled, and if it left by age, the k-mers equal to the new one are
+    too. Before the first full window the equals of the least one so far are settled; at the end of a sequence its last one
+    is, while one that an ambiguous base follows is not.
     """
+    n = len(h)
+    at = np.arange(n)
+    place = valid - k  # of the k-mer in its stretch
+    low, low_at = h.copy(), at.copy()
+    for s in range(1, min(w, n)):  # the rightmost least of the window: a strictly smaller one further back
+        older = np.flatnonzero((h[:-s] < low[s:]) & (place[s:] >= s)) + s
+        low[older], low_at[older] = h[older - s], older - s
+    low_at[low == ABSENT] = -1
+
+    inside = np.flatnonzero(place >= 1)
+    was, had = low_at[inside - 1], low[inside - 1]
+    changed = (low_at[inside] != was) & (place[inside] >= w) & (had != ABSENT)
+    leave, left = inside[changed], was[changed]
+    aged = leave[(left == leave - w) & (h[leave] > had[changed]) & (low[leave] != ABSENT)]
+    first = inside[(place[inside] == w - 1) & (had != ABSENT)]
+
+    def equals(rows: np.ndarray, value: np.ndarray, own: np.ndarray, back: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, end) of the k-mers from w - 1 places before a row up to `back` before it that equal its value, without its own."""
+        ends = rows[:, None] - np.arange(w - 1, back - 1, -1)
+        hit = (h[ends] == value[:, None]) & (ends != own[:, None])
+        return np.broadcast_to(rows[:, None], ends.shape)[hit], ends[hit]
+
+    before = equals(first, low[first - 1], low_at[first - 1], 1)
+    after = equals(aged, low[aged], low_at[aged], 0)
+    final = np.flatnonzero(last & (place >= 0) & (low != ABSENT))
+    row = np.concatenate([before[0], leave, after[0], final])
+    phase = np.repeat(np.arange(4), [len(before[0]), len(leave), len(after[0]), len(final)])
+    end = np.concatenate([before[1], left, after[1], low_at[final]])
+    return end[np.lexsort((end, phase, row))]
+
+
+def sketch_many(d: np.ndarray, edge: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in its row, hash, position, strand) of the minimizers of sequences between edges of an array of bytes."""
+    # an ambiguous base between sequences keeps their k-mers apart
+    rows = len(edge) - 1
+    code = np.full(len(d) + rows, 4, np.uint8)
+    stop = edge[1:] + np.arange(rows)
+    inside = np.ones(len(code), bool)
+    inside[stop] = False
+    code[inside] = BASE[d]
+    last = np.zeros(len(code), bool)
+    last[stop[np.diff(edge) > 0] - 1] = True
+    h, strand, valid = _kmers(code, k)
+    end = settled(h, valid, last, k, w)
+    row = np.searchsorted(stop, end)
+    begin = np.concatenate(([0], stop[:-1] + 1))
+    count = np.bincount(row, minlength=rows)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, number, h[end].astype(np.int64), end - begin[row] - k + 1, strand[end]
+
+
+def sketch(seq: str, k: int, w: int) -> list[tuple[int, int, int]]:
+    """(hash, position, strand) of the minimizers of one sequence in the order they are settled."""
     IndexOptions(k, w)
-    hashes, strands, valid = kmers(seq, k)
-    out: list[tuple[int, int]] = []  # (hash, end)
-    low, low_at = ABSENT, 0  # the pending k-mer: its hash and the place of its last base
-    hs, vs = hashes.tolist(), valid.tolist()
-
-    def ties(i: int, from_: int):
-        for j in range(max(from_, 0), i + 1):
-            if hs[j] == low and j != low_at:
-                out.append((low, j))
-
-    full = w + k - 1
-    slot = 0  # of the pending k-mer; without one the slot of the last still triggers a search when it is reused
-    for i, h in enumerate(hs):
-        if not vs[i]:
-            low = ABSENT
-        if vs[i] == full and low != ABSENT:
-            ties(i - 1, i - w + 1)
-        if h <= low:
-            if vs[i] > full and low != ABSENT:
-                out.append((low, low_at))
-            low, low_at, slot = h, i, i % w
-        elif i % w == slot:
-            if vs[i] >= full and low != ABSENT:
-                out.append((low, low_at))
-            low = ABSENT
-            for j in range(max(i - w + 1, 0), i + 1):  # the rightmost least one
-                if hs[j] <= low:
-                    low, low_at, slot = hs[j], j, j % w
-            if vs[i] >= full and low != ABSENT:
-                ties(i, i - w + 1)
-    if low != ABSENT:
-        out.append((low, low_at))
-    return [(h, e - k + 1, int(strands[e])) for h, e in out]
-
-
-MINIMIZER = "hash long, pos int, strand int, idx int"
+    d = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+    _, _, h, pos, strand = sketch_many(d, np.array([0, len(d)]), k, w)
+    return list(zip(h.tolist(), pos.tolist(), strand.tolist(), strict=True))
+
+
+#: Bytes of sequences that are sketched at once; a longer one comes alone.
+AT_ONCE = 1 << 20
 
 
 def sketch_table(records: DataFrame, key: str, k: int, w: int) -> DataFrame:
     """(key, seq_length, idx, hash, pos, strand) of every record's minimizers."""
-    kind = records.schema[key].dataType.simpleString()
+    IndexOptions(k, w)
 
     def run(batches):
-        for pdf in batches:
-            rows = [(r, len(s), i, h, p, d) for r, s in zip(pdf[key], pdf["seq"], strict=True) for i, (h, p, d) in enumerate(sketch(s or "", k, w))]
-            yield pd.DataFrame(rows, columns=[key, "seq_length", "idx", "hash", "pos", "strand"])
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            ends, lo = np.cumsum(size, dtype=np.int64), 0
+            while lo < len(ends):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + AT_ONCE, "right")))
+                part = batch.slice(lo, hi - lo)
+                d, edge = bulk.letters(part.column(1))
+                row, number, h, pos, strand = sketch_many(d, edge, k, w)
+                columns = [part.column(0).take(pa.array(row)), np.diff(edge)[row].astype(np.int32), number.astype(np.int32), h, pos.astype(np.int32), strand.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[key, "seq_length", "idx", "hash", "pos", "strand"])
+                lo = hi
 
-    return records.select(key, "seq").mapInPandas(run, f"{key} {kind}, seq_length int, idx int, hash long, pos int, strand int")
+    kind = records.schema[key].dataType.simpleString()
+    return records.select(key, "seq").mapInArrow(run, f"{key} {kind}, seq_length int, idx int, hash long, pos int, strand int")
+
+
+def hash64_column(x: Column) -> Column:
+    """hash64 of a column of longs."""
+
+    @F.arrow_udf("long")
+    def run(x: pa.Array) -> pa.Array:
+        out = hash64(pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64)
+        return pa.array(out, mask=x.is_null().to_numpy(zero_copy_only=False))
+
+    return run(x.cast("long"))
 
 
 @dataclass(frozen=True)
@@ -147,10 +201,15 @@ class Index:
         return self.minimizers.count()
 
 
-def build_index(refs: DataFrame, options: IndexOptions) -> Index:
-    """refs: (ordinal, name, seq); ref_id is the ordinal. All minimizers are kept, however frequent."""
+def build_index(refs: DataFrame, options: IndexOptions, store: bool = False) -> Index:
+    """refs: (ordinal, name, seq); ref_id is the ordinal. All minimizers are kept, however frequent.
+
+    With store they are written to the shared folder once, ordered by hash, for an index that is asked many times.
+    """
     own = refs.select(F.col("ordinal").alias("ref_id"), F.col("name").alias("ref_name"), "seq")
     found = sketch_table(own, "ref_id", options.k, options.w).select("hash", "ref_id", F.col("pos").alias("ref_pos"), F.col("strand").alias("ref_strand"), F.col("idx").alias("ref_idx"))
+    if store:
+        found, _ = storage.save(found.repartition("hash").sortWithinPartitions("hash"), "minimizers")
     return Index(options, own, found)
 
 
@@ -212,10 +271,13 @@ def select_seeds(seeds: DataFrame, o: IndexOptions) -> DataFrame:
 def anchors(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, hash, query_pos, query_strand, ref_id, ref_pos, ref_strand, occurrence, query_idx, ref_idx).
 
-    queries: (query_id, seq). Seeds meet the small table of distinct hashes first, which drops those that
-    are too frequent before the join with all reference places fans out.
+    queries: (query_id, seq). References are sketched once: only minimizers whose hash some query holds are kept, and written, before
+    anything is shuffled. Their counts meet the queries' seeds first, which drops too frequent ones before the join fans out.
     """
     o = index.options
-    mins = drop_query_duplicates(sketch_table(queries, "query_id", o.k, o.w), o)
-    seeds = select_seeds(mins.join(index.occurrences(), "hash"), o)
-    return seeds.select("query_id", "hash", F.col("pos").alias("query_pos"), F.col("strand").alias("query_strand"), "occurrence", F.col("idx").alias("query_idx")).join(index.minimizers, "hash")
+    mins, _ = storage.save(drop_query_duplicates(sketch_table(queries, "query_id", o.k, o.w), o), "query-seeds")
+    asked, _ = storage.save(mins.select("hash").distinct(), "query-hashes")
+    hits, _ = storage.save(index.minimizers.join(asked, "hash", "left_semi"), "hits")
+    occurrences = hits.groupBy("hash").agg(F.count("*").cast("int").alias("occurrence"))
+    seeds = select_seeds(mins.join(occurrences, "hash"), o)
+    return seeds.select("query_id", "hash", F.col("pos").alias("query_pos"), F.col("strand").alias("query_strand"), "occurrence", F.col("idx").alias("query_idx")).join(hits, "hash")

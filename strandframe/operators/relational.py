@@ -11,20 +11,26 @@ from ..functions import sequence as S
 
 
 def interleave(first: DataFrame, second: DataFrame, suffix1: str = "", suffix2: str = "") -> DataFrame:
-    """Records of both tables in turn, paired by ordinal; a record without a partner is an error when rows are computed.
+    """Records of both tables in turn, paired by ordinal; a record without a partner is an error as soon as rows are counted or read.
 
-    A full outer join on the ordinal: one shuffle of each side on the same key.
+    A full outer join on the ordinal: one shuffle of each side on the same key. The error sits in a filter on the pair, which
+    no choice of columns removes.
     """
     pick = lambda df, p: df.select("ordinal", F.struct("name", "description", "seq", "qual").alias(p))
     both = pick(first, "a").join(pick(second, "b"), "ordinal", "full_outer")
+    lone = lambda other, which: F.raise_error(F.concat(F.lit(f"record without a partner in the {which} input: "), F.coalesce(F.col(f"{other}.name"), F.lit("")))).cast("boolean")
+    both = both.where(F.when(F.col("a").isNull(), lone("b", "first")).when(F.col("b").isNull(), lone("a", "second")).otherwise(F.lit(True)))
+    one = lambda p, mate, suffix: F.struct(F.lit(mate).alias("mate"), S.with_suffix(f"{p}.name", suffix).alias("name"), *(F.col(f"{p}.{c}").alias(c) for c in ("description", "seq", "qual")))
+    rows = both.select("ordinal", F.explode(F.array(one("a", 1, suffix1), one("b", 2, suffix2))).alias("r"))
+    return rows.select((F.col("ordinal") * 2 + F.col("r.mate") - 1).alias("ordinal"), "r.mate", "r.name", "r.description", "r.seq", "r.qual")
 
-    def checked(own, other, which):
-        alone = F.raise_error(F.concat(F.lit(f"record without a partner in the {which} input: "), F.coalesce(F.col(f"{other}.name"), F.lit("")))).cast("string")
-        return F.when(F.col(own).isNull(), alone).otherwise(F.col(f"{own}.name"))
 
-    one = lambda p, o, which, mate, suffix: F.struct(F.lit(mate).alias("mate"), S.with_suffix(checked(p, o, which), suffix).alias("name"), *(F.col(f"{p}.{c}").alias(c) for c in ("description", "seq", "qual")))
-    rows = both.select("ordinal", F.explode(F.array(one("a", "b", "first", 1, suffix1), one("b", "a", "second", 2, suffix2))).alias("r"))
-    return rows.select((F.col("ordinal") * 2 + F.col("r.mate") - 1).alias("ordinal"), "r.mate", "r.name", "r.description", "r.seq", "r.qual")
+def pair_files(planned: DataFrame, produced: DataFrame, key: str = "run") -> DataFrame:
+    """(key, position, planned, produced) of files (key, position, filename), paired by position; an error where one side has more files."""
+    side = lambda df, name: df.select(key, "position", F.col("filename").alias(name))
+    both = side(planned, "planned").join(side(produced, "produced"), [key, "position"], "full_outer")
+    lone = F.raise_error(F.concat(F.lit("file without a partner: "), F.coalesce("planned", "produced"))).cast("boolean")
+    return both.where(F.when(F.col("planned").isNull() | F.col("produced").isNull(), lone).otherwise(F.lit(True)))
 
 
 def pair_format(first_has_quality: bool, second_has_quality: bool) -> str:
@@ -112,8 +118,15 @@ def distinct_in_order(values: DataFrame, column: str, order: str) -> DataFrame:
     return values.groupBy(column).agg(F.min(order).alias(order))
 
 
-def merge_runs(tables: list[DataFrame]) -> DataFrame:
-    """Read files of several runs as one, in the order given, within each direction."""
+def merge_runs(tables: list[DataFrame], layouts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Read files of several runs as one, in the order given, within each direction.
+
+    layouts: of each run its layout (such as PAIRED) and the extension of its files; an error unless all agree.
+    """
+    if not tables:
+        raise ValueError("no runs to merge")
+    if layouts is not None and (len(layouts) != len(tables) or len(set(layouts)) > 1):
+        raise ValueError(f"runs differ in layout or extension: {sorted(set(layouts))}")
     out = [t.withColumn("run_index", F.lit(k)) for k, t in enumerate(tables)]
     first = out[0]
     for t in out[1:]:

@@ -11,47 +11,68 @@ LEVELS = tuple(range(1, 10))
 
 
 def lengths(records: DataFrame, min_length: int = 1, group: str | None = "dataset") -> DataFrame:
-    """One row for each length of each dataset: a histogram, so that the Nxx sort works on distinct lengths only."""
+    """One row for each length of each dataset: a histogram, so that the Nxx sort works on distinct lengths only.
+
+    Records below min_length count as nothing under length null, so that datasets of such alone are known too.
+    """
     rows = records.select(*([F.col(group).alias("filename")] if group else [F.lit("combined").alias("filename")]), F.length("seq").alias("length"), S.count_n("seq").alias("n"), S.count_n_runs("seq").alias("gaps"))
-    return rows.where(F.col("length") >= min_length).groupBy("filename", "length").agg(F.count("*").alias("number"), F.sum("n").cast("long").alias("n_count"), F.sum("gaps").cast("long").alias("gap_count"))
+    fits = F.col("length") >= min_length
+    rows = rows.select("filename", *(F.when(fits, F.col(c)).alias(c) for c in ("length", "n", "gaps")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.groupBy("filename", "length").agg(F.count("length").alias("number"), zero(F.sum("n")).alias("n_count"), zero(F.sum("gaps")).alias("gap_count"))
 
 
-def assembly_stats(records: DataFrame, min_length: int = 1, group: str | None = "dataset") -> DataFrame:
-    """One row for each dataset, or one row `combined` if group is None; all zeros for no records.
+def summary(hist: DataFrame, *keys: str) -> DataFrame:
+    """One row of statistics for each value of the keys, from a histogram of lengths.
 
     Nxx is the longest length at which the running sum over falling lengths reaches xx percent of the total,
     NxxN the number of sequences to there. Inside a length the count follows by division, as its sequences are equal.
     """
-    hist = lengths(records, min_length, group)
-    w = Window.partitionBy("filename").orderBy(F.col("length").desc())
-    total = F.sum(F.col("length") * F.col("number")).over(Window.partitionBy("filename"))
-    before = F.coalesce(F.sum(F.col("length") * F.col("number")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    count_before = F.coalesce(F.sum("number").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    run = hist.withColumn("total", total).withColumn("before", before).withColumn("count_before", count_before)
+    length = F.coalesce("length", F.lit(0))
+    w = Window.partitionBy(*keys).orderBy(F.col("length").desc_nulls_last())
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    size = length * F.col("number")
+    run = hist.withColumn("total", F.sum(size).over(Window.partitionBy(*keys))).withColumn("before", F.coalesce(F.sum(size).over(earlier), F.lit(0))).withColumn("count_before", F.coalesce(F.sum("number").over(earlier), F.lit(0)))
     aggs = []
     for k in LEVELS:
         goal = F.col("total") * F.lit(float(k)) / F.lit(10.0)
-        reached = F.col("before") + F.col("length") * F.col("number") >= goal
+        reached = F.col("length").isNotNull() & (F.col("before") + size >= goal)
         within = F.greatest(F.ceil((goal - F.col("before")) / F.greatest(F.col("length"), F.lit(1))), F.lit(1)).cast("long")
         aggs += [F.max(F.when(reached, F.col("length"))).cast("int").alias(f"n{k}0"), F.min(F.when(reached, F.col("count_before") + within)).cast("long").alias(f"n{k}0n")]
-    out = run.groupBy("filename").agg(
-        F.sum(F.col("length") * F.col("number")).cast("long").alias("total_length"),
+    out = run.groupBy(*keys).agg(
+        F.sum(size).cast("long").alias("total_length"),
         F.sum("number").cast("long").alias("number"),
-        (F.sum(F.col("length") * F.col("number")) / F.sum("number")).cast("double").alias("mean_length"),
+        F.try_divide(F.sum(size), F.sum("number")).cast("double").alias("mean_length"),
         F.max("length").cast("int").alias("longest"),
         F.min("length").cast("int").alias("shortest"),
         F.sum("n_count").cast("long").alias("n_count"),
         F.sum("gap_count").cast("long").alias("gap_count"),
         *aggs,
     )
-    names = records.select(F.col(group).alias("filename")).distinct() if group else records.sparkSession.range(1).select(F.lit("combined").alias("filename"))
-    full = names.join(out, "filename", "left")
-    return full.select("filename", *(F.coalesce(F.col(c), F.lit(0).cast(full.schema[c].dataType)).alias(c) for c in full.columns if c != "filename"))
+    return out.select(*keys, *(F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)).alias(c) for c in out.columns if c not in keys))
+
+
+def assembly_stats(records: DataFrame, min_length: int = 1, group: str | None = "dataset") -> DataFrame:
+    """One row for each dataset, or one row `combined` if group is None; all zeros where no record is long enough. One scan."""
+    hist = lengths(records, min_length, group)
+    if not group:  # there is a row even without records
+        none = records.sparkSession.range(1).select(F.lit("combined").alias("filename"), F.lit(None).cast("int").alias("length"), *(F.lit(0).cast("long").alias(c) for c in ("number", "n_count", "gap_count")))
+        hist = hist.unionByName(none)
+    return summary(hist, "filename")
 
 
 def stats_with_total(records: DataFrame, min_length: int = 1) -> DataFrame:
-    """Rows by dataset and one for all together."""
-    return assembly_stats(records, min_length).unionByName(assembly_stats(records, min_length, None))
+    """Rows by dataset and one for all together, from one scan: the small histogram is counted twice, not the records."""
+    each = F.explode(F.array(F.lit(False), F.lit(True))).alias("all")
+    hist = lengths(records, min_length).select("*", each).withColumn("filename", F.when(F.col("all"), F.lit("combined")).otherwise(F.col("filename")))
+    merged = hist.groupBy("all", "filename", "length").agg(*(F.sum(c).alias(c) for c in ("number", "n_count", "gap_count")))
+    return summary(merged, "all", "filename").drop("all")
+
+
+def empty_row(filename: str) -> dict:
+    """Statistics of an input without records: zeros."""
+    counts = ("total_length", "number", "longest", "shortest", "n_count", "gap_count", *(f"n{k}0{x}" for k in LEVELS for x in ("", "n")))
+    return {"filename": filename, "mean_length": 0.0, **dict.fromkeys(counts, 0)}
 
 
 def count_records(records: DataFrame) -> int:

@@ -5,13 +5,16 @@ Documents become records: letters map to bases, everything else to N, so runs of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import accession as ACC
 from ..functions import interval as I
 from ..functions import orf as O
 from ..functions import sequence as S
+from ..functions import sql as SQL
+from ..operators import align as A
 from ..operators import generators as G
 from ..operators import intervals as IV
 from ..operators import mapping as MP
@@ -44,7 +47,7 @@ def sql_dna(column: str = "text", letters: str = DNA, keep: str = "ACGT") -> str
 
 def records(spark: SparkSession, sf_dir: str, letters: str = DNA, keep: str = "ACGT") -> DataFrame:
     """Documents as records: dataset is the source, description the language."""
-    own = table(spark, sf_dir, "documents")
+    own = storage.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return own.select(
         F.col("source").alias("dataset"),
         F.lit(None).cast("string").alias("sample"),
@@ -143,17 +146,21 @@ def _sql_map(code: int) -> str:
 SELECT doc_id, md5({_sql_translate(1, 's')}) AS code_1, md5({_sql_translate(4, 's')}) AS code_4, md5({_sql_translate(1, 's')}) AS code_11 FROM n""",
 )
 def translate(spark, sf_dir):
-    return gapped(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), *(F.md5(S.translate("seq", c)).alias(f"code_{c}") for c in S.CODES))
+    rows = gapped(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), S.translations("seq").alias("t"))
+    return rows.select("doc_id", *(F.md5(f"t.code_{c}").alias(f"code_{c}") for c in S.CODES))
 
 
-@query(
-    "start_codons",
-    f"""WITH n AS (SELECT doc_id, substr({SQL_NORMAL}, 1, 3) AS c FROM ({GAPPED_RECORDS}))
-SELECT doc_id, c IN ('TTG', 'CTG', 'ATG') AS code_1, c IN ('TTA', 'TTG', 'CTG', 'ATT', 'ATC', 'ATA', 'ATG', 'GTG') AS code_4,
-  c IN ('TTG', 'CTG', 'ATT', 'ATC', 'ATA', 'ATG', 'GTG') AS code_11 FROM n""",
-)
+def _sql_starts(code: int) -> str:
+    codons = ", ".join(f"'{c}'" for c in S.STARTS[code])
+    return f"CAST(len(list_filter(c, lambda x: x IN ({codons}))) AS INTEGER) AS code_{code}"
+
+
+@query("start_codons", f"WITH n AS (SELECT doc_id, regexp_extract_all({SQL_NORMAL}, '(?s)...') AS c FROM ({GAPPED_RECORDS})) SELECT doc_id, {', '.join(_sql_starts(c) for c in S.CODES)} FROM n")
 def start_codons(spark, sf_dir):
-    return gapped(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), *(S.is_start_codon(F.substring("seq", 1, 3), c).alias(f"code_{c}") for c in S.CODES))
+    """Start codons among all codons of frame 0, by code."""
+    rows = gapped(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), F.regexp_extract_all(S.normalize_dna("seq"), F.lit("(?s)..."), F.lit(0)).alias("c"))
+    starts = lambda code: F.size(F.filter("c", lambda x: S.is_start_codon(x, code))).alias(f"code_{code}")
+    return rows.select("doc_id", *map(starts, S.CODES))
 
 
 @query(
@@ -166,9 +173,11 @@ def n_content(spark, sf_dir):
     return rows.select(F.col("ordinal").alias("doc_id"), S.count_n("seq").cast("int").alias("n_count"), S.count_n_runs("seq").cast("int").alias("gap_count"), S.contains_n("seq").alias("has_n"))
 
 
-@query("subsequence", f"SELECT doc_id, substr(seq, 11, 20) AS part FROM ({RECORDS}) WHERE length(seq) >= 30")
+@query("subsequence", f"SELECT doc_id, md5(substr(seq, length(seq) // 4 + 1, length(seq) // 2)) AS part FROM ({RECORDS})")
 def subsequence(spark, sf_dir):
-    return records(spark, sf_dir).where(F.length("seq") >= 30).select(F.col("ordinal").alias("doc_id"), S.subseq("seq", 10, 30).alias("part"))
+    """The middle half of each sequence."""
+    start = F.floor(F.length("seq") / 4).cast("int")
+    return records(spark, sf_dir).select(F.col("ordinal").alias("doc_id"), F.md5(S.subseq("seq", start, start + F.floor(F.length("seq") / 2).cast("int"))).alias("part"))
 
 
 _QUAL = "translate(seq, 'ACGT-', 'IHGFE')"
@@ -239,17 +248,11 @@ def alignment_records(spark, sf_dir):
 # --- record tables ----------------------------------------------------------------------------------
 
 
-@query(
-    "interleave",
-    f"""WITH r AS (SELECT doc_id, name, md5(seq) AS seq FROM ({RECORDS})),
-p AS (SELECT a.doc_id // 2 AS pair, a.name AS n1, a.seq AS s1, b.name AS n2, b.seq AS s2 FROM r a JOIN r b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0)
-SELECT pair * 2 AS ordinal, 1 AS mate, n1 || '/1' AS name, s1 AS seq FROM p UNION ALL SELECT pair * 2 + 1, 2, n2 || '/2', s2 FROM p""",
-)
+@query("interleave", f"SELECT doc_id * 2 AS ordinal, 1 AS mate, name || '/1' AS name, md5(seq) AS seq FROM ({RECORDS}) UNION ALL SELECT doc_id * 2 + 1, 2, name || '/2', md5({SQL_TURNED}) FROM ({RECORDS})")
 def interleave(spark, sf_dir):
-    rows = records(spark, sf_dir).withColumn("seq", F.md5("seq")).withColumn("side", F.col("ordinal") % 2).withColumn("ordinal", F.floor(F.col("ordinal") / 2))
-    first, second = rows.where("side = 0"), rows.where("side = 1")
-    both = first.join(second, "ordinal", "left_semi"), second.join(first, "ordinal", "left_semi")
-    return R.interleave(*both, "/1", "/2").select("ordinal", "mate", "name", "seq")
+    """Each document with its reverse complement as its mate."""
+    rows = records(spark, sf_dir)
+    return R.interleave(rows.withColumn("seq", F.md5("seq")), rows.withColumn("seq", F.md5(S.reverse_complement("seq"))), "/1", "/2").select("ordinal", "mate", "name", "seq")
 
 
 @query("to_fasta", f"SELECT doc_id, md5(replace(seq, '-', '')) AS seq, CAST(NULL AS VARCHAR) AS qual FROM ({GAPPED_RECORDS})")
@@ -318,13 +321,13 @@ def interval_predicates(spark, sf_dir):
 
 @query(
     "overlap_join",
-    f"""WITH p AS (SELECT key, count(*) AS n FROM ({PARTS}) GROUP BY key), a AS (SELECT DISTINCT * FROM ({PARTS})),
+    f"""WITH a AS ({PARTS}),
 b AS (SELECT s_suppkey AS key, CAST(s_suppkey * 7 AS INTEGER) AS b_start, CAST(s_suppkey * 7 + 400 AS INTEGER) AS b_end FROM supplier)
 SELECT key, start, "end", b_start, b_end FROM a JOIN b USING (key) WHERE start < b_end AND b_start < "end" AND start < "end" """,
 )
 def overlap_join(spark, sf_dir):
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") * 7).cast("int").alias("b_start"), (F.col("s_suppkey") * 7 + 400).cast("int").alias("b_end"))
-    return IV.overlap_join(_parts(spark, sf_dir).distinct(), b, ["key"], 128).select("key", "start", "end", "b_start", "b_end")
+    return IV.overlap_join(_parts(spark, sf_dir), b, ["key"], 128).select("key", "start", "end", "b_start", "b_end")
 
 
 @query(
@@ -335,7 +338,7 @@ c AS (SELECT name, part, sum(length(part)) OVER (PARTITION BY name ORDER BY k RO
 SELECT name, CAST(stop - length(part) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM c WHERE regexp_matches(part, '^[-.Nn]') AND length(part) >= 2""",
 )
 def gap_runs(spark, sf_dir):
-    return IV.find_gaps(gapped(spark, sf_dir), 2).select("name", F.col("start").cast("int").alias("start"), "end")
+    return IV.find_gaps(gapped(spark, sf_dir), 2)
 
 
 # --- reading frames ---------------------------------------------------------------------------------
@@ -351,7 +354,7 @@ SELECT name, strand, CAST(i % 3 AS INTEGER) AS frame, CAST(CASE WHEN strand = '+
 FROM e WHERE codon = 'ATG' AND stop IS NOT NULL AND stop + 3 - i >= 60""",
 )
 def open_reading_frames(spark, sf_dir):
-    found = records(spark, sf_dir).select("name", F.explode(O.find_orfs(F.col("seq"), O.OrfOptions(60))).alias("o"))
+    found = records(spark, sf_dir).select("name", F.explode(O.find_orfs(F.col("seq"), O.OrfOptions(60), text=False)).alias("o"))
     return found.select("name", "o.strand", "o.frame", "o.start", "o.end")
 
 
@@ -416,11 +419,70 @@ _REPORT = """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'RefSeq' W
 
 @query("report_regions", f"WITH r AS ({_REPORT.format(text='VARCHAR')}) SELECT id, nucleotide_accession, start, stop, CASE strand WHEN '+' THEN '1' ELSE '2' END AS strand_number FROM r WHERE lower(source) = 'refseq' AND nucleotide_accession NOT IN ('', 'N/A') AND start <> '' AND stop <> '' AND strand IN ('+', '-') AND assembly = 'GCF_1'")
 def report_regions(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_orders_of_reports")
-    rows = spark.sql(_REPORT.format(text="string").replace("FROM orders", "FROM _orders_of_reports"))
+    rows = spark.sql(_REPORT.format(text="string").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
     return ACC.filter_report(rows, "refseq", "gcf_1").select("id", "nucleotide_accession", "start", "stop", ACC.strand_number(F.col("strand")).alias("strand_number"))
 
 
+@query("accession_lists", f"SELECT c_nationkey, CASE WHEN min(db) = max(db) THEN max(db) ELSE 'sequences' END AS db FROM (SELECT c_nationkey, db FROM customer JOIN ({ORACLE_SQL['accession_databases']}) USING (c_custkey)) GROUP BY c_nationkey")
+def accession_lists(spark, sf_dir):
+    a = F.expr(_ACCESSION.format(fn="format_string"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(ACC.database_of_all(a).alias("db"))
+
+
+# --- names, numbers and versions --------------------------------------------------------------------
+
+
+@query(
+    "byte_counts",
+    """WITH n AS (SELECT o_orderkey, CAST(floor(o_totalprice * o_orderkey * o_custkey) AS BIGINT) AS n, CASE o_orderkey % 4 WHEN 0 THEN ' ' || o_custkey || ' ' WHEN 1 THEN o_custkey || ' MB' WHEN 2 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS text FROM orders),
+k AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM n)
+SELECT o_orderkey, CASE WHEN k = 0 THEN n || ' B' ELSE CAST(CAST(round(n / pow(1024.0, k), 1) AS DECIMAL(20,1)) AS VARCHAR) || CASE k WHEN 1 THEN ' KiB' WHEN 2 THEN ' MiB' WHEN 3 THEN ' GiB' ELSE ' TiB' END END AS shown, coalesce(TRY_CAST(nullif(trim(text), '') AS BIGINT), -1) AS parsed FROM k""",
+)
+def byte_counts(spark, sf_dir):
+    n = F.floor(F.col("o_totalprice") * F.col("o_orderkey") * F.col("o_custkey")).cast("long")
+    key = F.col("o_custkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" "), key, F.lit(" "))).when(F.col("o_orderkey") % 4 == 1, F.concat(key, F.lit(" MB"))).when(F.col("o_orderkey") % 4 == 2, "").otherwise(key)
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.human_bytes(n).alias("shown"), F.coalesce(S.parse_bytes(text), F.lit(-1)).alias("parsed"))
+
+
+_FILE = "'run ' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.fastq.gz' WHEN 1 THEN '.FQ' WHEN 2 THEN '.x.fq.gz' WHEN 3 THEN '.tar' WHEN 4 THEN chr(39) || 's' ELSE '' END"
+_VERSION = "CASE p_partkey % 3 WHEN 0 THEN 'v' ELSE '' END || p_size || '.' || p_partkey % 40 || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '.3' END"
+
+
+@query(
+    "command_words",
+    f"""WITH f AS (SELECT *, {_FILE} AS f FROM part)
+SELECT p_partkey, regexp_extract(f, '(?i)([.]fastq[.]gz|[.]fq[.]gz|[.]fastq|[.]fq|[.][^./]*)$', 1) AS extension, chr(39) || replace(f, chr(39), chr(39) || '"' || chr(39) || '"' || chr(39)) || chr(39) AS quoted,
+  p_partkey % 5 > 0 AS is_version, p_partkey % 5 > 0 AND (p_size > 20 OR (p_size = 20 AND p_partkey % 40 >= 20)) AS newer FROM f""",
+)
+def command_words(spark, sf_dir):
+    """Endings of read files, shell quoting, and versions compared with 20.20.1."""
+    f, v = F.expr(_FILE), S.version_parts(F.expr(_VERSION))
+    return table(spark, sf_dir, "part").select("p_partkey", S.read_extension(f).alias("extension"), S.shell_quoted(f).alias("quoted"), v.isNotNull().alias("is_version"), F.coalesce(v > S.version_parts(F.lit("v20.20.1")), F.lit(False)).alias("newer"))
+
+
+@query("paired_files", "SELECT o_orderkey AS run, k AS position, 'plan_' || o_orderkey || '_' || k AS planned, 'made_' || o_custkey || '_' || k AS produced FROM (SELECT o_orderkey, o_custkey, unnest(range(1, 1 + CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END)) AS k FROM orders)")
+def paired_files(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), "o_custkey", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("o_orderkey") % 2 == 0, 2).otherwise(1).cast("long"))).alias("position"))
+    name = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"), F.lit("_"), F.col("position").cast("string"))
+    return R.pair_files(rows.withColumn("filename", name("plan_", "run")), rows.withColumn("filename", name("made_", "o_custkey")))
+
+
+@query(
+    "sql_functions",
+    f"""WITH r AS (SELECT doc_id, seq, {SQL_NORMAL} AS normal FROM ({GAPPED_RECORDS}))
+SELECT doc_id, md5({SQL_TURNED}) AS turned, md5(normal) AS normal, CAST(length(seq) - length(translate(seq, 'Nn', '')) AS INTEGER) AS n_count, regexp_matches(seq, '[Nn]') AS has_n,
+  md5('>' || 'doc' || doc_id || chr(10) || seq || chr(10)) AS fasta, right(right(repeat('I', CAST(greatest(length(seq) - 8, 0) AS INTEGER)) || 'HGFEDCBA', CAST(length(seq) AS BIGINT)), CAST(least(length(seq), 12) AS BIGINT)) AS tail FROM r""",
+)
+def sql_functions(spark, sf_dir):
+    """The functions that `functions.sql.register` puts into a session, called from SQL."""
+    SQL.register(spark)
+    return spark.sql(
+        "SELECT ordinal AS doc_id, md5(reverse_complement(seq)) AS turned, md5(normalize_dna(seq)) AS normal, count_n(seq) AS n_count, contains_n(seq) AS has_n, md5(fasta_text(name, '', seq)) AS fasta, right(quality_profile(length(seq)), least(length(seq), 12)) AS tail FROM {rows}",
+        rows=gapped(spark, sf_dir),
+    )
+
+
 # --- minimizers and mapping -------------------------------------------------------------------------
 
 INDEX = MI.IndexOptions(15, 10, 50, 200, 500, 0.01)
@@ -432,7 +494,7 @@ def unbroken(column: str = "text"):
 
 
 def unbroken_records(spark, sf_dir) -> DataFrame:
-    own = table(spark, sf_dir, "documents")
+    own = storage.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return own.select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), unbroken().alias("seq"))
 
 
@@ -442,6 +504,83 @@ def minimizer_sketch(spark, sf_dir):
     return MI.sketch_table(unbroken_records(spark, sf_dir).withColumnRenamed("ordinal", "doc_id"), "doc_id", 15, 10)
 
 
+def _short_records(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), F.concat(unbroken("p_name"), unbroken("p_type"), unbroken("p_brand")).alias("seq"))
+
+
+def _sql_mixed(source: str, x: str, keep: str) -> str:
+    """SELECT of the columns `keep` and h, the mix of x, from a source: 64-bit numbers as HUGEINT, wrapped around by hand."""
+    m, x = "18446744073709551616", f"CAST({x} AS HUGEINT)"
+    out = f"SELECT {keep}, ((18446744073709551615 - {x}) + ({x} * 2097152) % {m}) % {m} AS h FROM ({source})"
+    for step in (f"(xor(h, h // 16777216) * 265) % {m}", f"(xor(h, h // 16384) * 21) % {m}", "xor(h, h // 268435456)", f"(h + (h * 2147483648) % {m}) % {m}"):
+        out = f"SELECT {keep}, {step} AS h FROM ({out})"
+    return out
+
+
+@query("seed_hashes", f"SELECT o_orderkey, CAST(h % 4611686018427387904 AS BIGINT) AS h FROM ({_sql_mixed('SELECT o_orderkey, o_orderkey * 1000003 + o_custkey AS x FROM orders', 'x', 'o_orderkey')})")
+def seed_hashes(spark, sf_dir):
+    x = F.col("o_orderkey") * 1000003 + F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", MI.hash64_column(x).bitwiseAND((1 << 62) - 1).alias("h"))
+
+
+_K, _W = 5, 4
+
+
+def _sql_unbroken(c: str) -> str:
+    return f"regexp_replace(translate(coalesce({c}, ''), '{LETTERS} .,', '{DNA}TGA'), '[^ACGT]', 'N', 'g')"
+
+
+#: Minimizers of short sequences: k-mers of unbroken stretches with their masked hash (null for those equal to their turned form),
+#: the least of each window (its hash and place in one number), and the rules by which places are settled.
+_SHORT_SKETCH = f"""WITH r AS (SELECT p_partkey AS id, {_sql_unbroken('p_name')} || {_sql_unbroken('p_type')} || {_sql_unbroken('p_brand')} AS seq FROM part),
+p AS (SELECT id, length(seq) AS n, seq, CAST(unnest(range({_K - 1}, greatest(length(seq), {_K - 1}))) AS BIGINT) AS i FROM r),
+q AS (SELECT id, n, i, substr(seq, i - {_K - 2}, {_K}) AS w FROM p),
+c AS (SELECT id, n, i, {' + '.join(f"CAST(strpos('ACGT', substr(w, {j + 1}, 1)) - 1 AS BIGINT) * {4 ** (_K - 1 - j)}" for j in range(_K))} AS fore, {' + '.join(f"CAST(4 - strpos('ACGT', substr(w, {j + 1}, 1)) AS BIGINT) * {4 ** j}" for j in range(_K))} AS back FROM q WHERE NOT contains(w, 'N')),
+hashed AS ({_sql_mixed('SELECT id, n, i, fore, back, least(fore, back) AS x FROM c', 'x', 'id, n, i, fore, back')}),
+k AS (SELECT id, n, i, CASE WHEN fore <> back THEN CAST(h % {4 ** _K} AS BIGINT) END AS h, CASE WHEN back < fore THEN 1 ELSE 0 END AS strand, i - row_number() OVER (PARTITION BY id ORDER BY i) AS stretch FROM hashed),
+m AS (SELECT *, row_number() OVER (PARTITION BY id, stretch ORDER BY i) - 1 AS place, min(h * 1000 + 999 - i) OVER (PARTITION BY id, stretch ORDER BY i ROWS {_W - 1} PRECEDING) AS v FROM k),
+l AS (SELECT *, v // 1000 AS low, 999 - v % 1000 AS low_at, lag(v) OVER (PARTITION BY id, stretch ORDER BY i) AS u FROM m),
+o AS (SELECT *, u // 1000 AS had, 999 - u % 1000 AS was FROM l),
+events AS (
+  SELECT a.id, a.i, 0 AS phase, b.i AS e FROM o a JOIN o b ON a.id = b.id AND b.i BETWEEN a.i - {_W - 1} AND a.i - 1 WHERE a.place = {_W - 1} AND a.u IS NOT NULL AND b.h = a.had AND b.i <> a.was
+  UNION ALL SELECT id, i, 1, was FROM o WHERE place >= {_W} AND u IS NOT NULL AND low_at IS DISTINCT FROM was
+  UNION ALL SELECT a.id, a.i, 2, b.i FROM o a JOIN o b ON a.id = b.id AND b.i BETWEEN a.i - {_W - 1} AND a.i WHERE a.place >= {_W} AND a.u IS NOT NULL AND a.v IS NOT NULL AND a.low_at IS DISTINCT FROM a.was AND a.was = a.i - {_W} AND (a.h IS NULL OR a.h > a.had) AND b.h = a.low AND b.i <> a.low_at
+  UNION ALL SELECT id, i, 3, low_at FROM o WHERE i = n - 1 AND v IS NOT NULL),
+sketch AS (SELECT t.id AS p_partkey, CAST(row_number() OVER (PARTITION BY t.id ORDER BY t.i, t.phase, t.e) - 1 AS INTEGER) AS idx, k.h AS hash, CAST(t.e - {_K - 1} AS INTEGER) AS pos, k.strand FROM events t JOIN k ON k.id = t.id AND k.i = t.e)"""
+
+
+@query("minimizers_of_short_sequences", f"{_SHORT_SKETCH} SELECT p_partkey, idx, hash, pos, strand FROM sketch")
+def minimizers_of_short_sequences(spark, sf_dir):
+    return MI.sketch_table(_short_records(spark, sf_dir).withColumnRenamed("ordinal", "p_partkey"), "p_partkey", _K, _W).select("p_partkey", "idx", "hash", "pos", "strand")
+
+
+@query("index_of_short_sequences", f"{_SHORT_SKETCH} SELECT hash, CAST(count(*) AS INTEGER) AS occurrence, count(DISTINCT p_partkey) AS sequences FROM sketch GROUP BY hash")
+def index_of_short_sequences(spark, sf_dir):
+    """Occurrences of each hash in an index, and the sequences found by looking it up."""
+    index = MI.build_index(_short_records(spark, sf_dir), MI.IndexOptions(_K, _W), store=True)
+    places = index.minimizers.groupBy("hash").agg(F.countDistinct("ref_id").alias("sequences"))
+    return index.occurrences().join(places, "hash")
+
+
+_SEEDS = "SELECT o_custkey % 40 AS query_id, o_orderkey AS idx, (o_orderkey * 7919) % 1000003 AS occurrence, CAST(o_orderkey * 7 AS INTEGER) AS pos, CAST((SELECT max(o_orderkey) * 7 + 50 FROM orders) AS INTEGER) AS seq_length FROM orders"
+
+
+@query(
+    "seed_streaks",
+    f"""WITH s AS ({_SEEDS}), m AS (SELECT *, occurrence <= 250000 AS rare, sum(CASE WHEN occurrence <= 250000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY idx) AS streak FROM s),
+f AS (SELECT *, coalesce(max(CASE WHEN rare THEN pos END) OVER (PARTITION BY query_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_pos,
+  coalesce(min(CASE WHEN rare THEN pos END) OVER (PARTITION BY query_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), seq_length) AS to_pos FROM m),
+g AS (SELECT *, count(*) OVER (PARTITION BY query_id, streak) AS size, row_number() OVER (PARTITION BY query_id, streak ORDER BY CASE WHEN occurrence <= 800000 THEN occurrence END NULLS LAST) AS place FROM f WHERE NOT rare)
+SELECT query_id, idx, occurrence FROM m WHERE rare
+UNION ALL SELECT query_id, idx, occurrence FROM g WHERE occurrence <= 800000 AND to_pos > from_pos AND place <= least(CAST(floor((to_pos - from_pos) / 500.0 + 0.5) AS INTEGER), size)""",
+)
+def seed_streaks(spark, sf_dir):
+    """Rare seeds, and of each streak of frequent ones the rarest for which its span has room."""
+    orders = table(spark, sf_dir, "orders")
+    seeds = spark.sql(_SEEDS.replace("FROM orders", "FROM {orders}").replace("AS INTEGER", "AS INT"), orders=orders)
+    return MI.select_seeds(seeds, MI.IndexOptions(15, 10, 250000, 800000, 500, 0.01)).select("query_id", "idx", "occurrence")
+
+
 @query("minimizer_occurrences")
 def minimizer_occurrences(spark, sf_dir):
     return MI.build_index(unbroken_records(spark, sf_dir), INDEX).occurrences()
@@ -495,6 +634,43 @@ def anchor_chains(spark, sf_dir):
     return MP.chains(_anchor_rows(spark, sf_dir)).select("query_id", "rel_strand", "anchor_count", "chain_score", "query_start", "query_end", "ref_start", "ref_end", "rank")
 
 
+_REFERENCE = "repeat('ACCGTTAGCATTGACA', 40)"
+_QUERY_SEQ = "repeat('GATTACAGGCT', CAST(46 + s_suppkey % 9 AS INT))"
+
+
+@query(
+    "candidate_windows",
+    f"""WITH q AS (SELECT s_suppkey AS query_id, {_QUERY_SEQ} AS seq FROM supplier), ranked AS ({ORACLE_SQL['anchor_chains']}),
+w AS (SELECT c.*, q.seq, greatest(query_start - 5, 0) AS q_from, least(query_end + 8 + 5, length(seq)) AS q_to, greatest(ref_start - 7, 0) AS r_from, least(ref_end + 8 + 7, 640) AS r_to FROM ranked c JOIN q USING (query_id) WHERE rank <= 3),
+x AS (SELECT *, substr(seq, q_from + 1, q_to - q_from) AS query_seq, substr({_REFERENCE}, r_from + 1, r_to - r_from) AS forward FROM w)
+SELECT query_id, rank, CAST(q_from AS INTEGER) AS q_from, CAST(q_to AS INTEGER) AS q_to, CAST(r_from AS INTEGER) AS r_from, CAST(r_to AS INTEGER) AS r_to, query_seq, CASE WHEN rel_strand = 1 THEN reverse(translate(forward, 'ACGT', 'TGCA')) ELSE forward END AS ref_oriented FROM x""",
+)
+def candidate_windows(spark, sf_dir):
+    """Padded and clamped windows of the three best chains of each query, the reference turned where the strands differ."""
+    refs = spark.range(1).select(F.col("id").alias("ref_id"), F.lit("ref").alias("ref_name"), F.expr(_REFERENCE).alias("seq"))
+    queries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr(_QUERY_SEQ).alias("seq"))
+    return MP.candidates(MP.chains(_anchor_rows(spark, sf_dir)), refs, queries, 8, MP.CandidateOptions(3, 5, 7)).select("query_id", "rank", "q_from", "q_to", "r_from", "r_to", "query_seq", "ref_oriented")
+
+
+_ALIGNED = "translate(CAST(o_orderkey * 7919 + 100000007 * (o_custkey % 13 + 1) AS {text}), '0123456789', 'ACGTACGTAC') || translate(CAST(o_custkey * 104729 AS {text}), '0123456789', 'GATCCATGAT')"
+
+
+@query(
+    "ranked_alignments",
+    f"""WITH w AS (SELECT o_custkey % 100 AS query_id, o_orderkey AS chain_score, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS rank, o_orderkey % 2 AS turned, length({_ALIGNED.format(text='VARCHAR')}) AS n FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chain_score DESC, rank) AS hit_rank FROM w)
+SELECT query_id, CAST(hit_rank AS INTEGER) AS hit_rank, CAST(2 * n AS INTEGER) AS score, n || 'M' AS cigar, CAST(3 AS INTEGER) AS query_start, CAST(3 + n AS INTEGER) AS query_end, CAST(CASE WHEN turned = 1 THEN 52 ELSE 54 END AS INTEGER) AS ref_start, CAST(CASE WHEN turned = 1 THEN 52 ELSE 54 END + n AS INTEGER) AS ref_end, CAST(n AS INTEGER) AS matches, CAST(1 AS DOUBLE) AS identity FROM r WHERE hit_rank <= 5""",
+)
+def ranked_alignments(spark, sf_dir):
+    """Windows that hold their query whole between flanks: the alignment is all matches, in coordinates of the forward reference."""
+    rows = spark.sql(f"SELECT o_custkey % 100 AS query_id, o_orderkey AS chain_score, o_orderkey % 2 AS rel_strand, {_ALIGNED.format(text='STRING')} AS query_seq FROM {{orders}}", orders=table(spark, sf_dir, "orders"))
+    windows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chain_score"))).withColumns(
+        {"ref_oriented": F.concat(F.lit("NNNN"), F.col("query_seq"), F.lit("NN")), "anchors": F.expr("cast(array() as array<struct<query_pos:int,ref_pos:int>>)"), "q_from": F.lit(3), "r_from": F.lit(50)}
+    )
+    found = A.align_candidates(windows, 0, A.AlignOptions())
+    return found.select("query_id", "hit_rank", "alignment.score", "alignment.cigar", "alignment.query_start", "alignment.query_end", "alignment.ref_start", "alignment.ref_end", "alignment.matches", "alignment.identity")
+
+
 @query("frequent_query_seeds", "WITH m AS (SELECT o_custkey % 20 AS query_id, o_orderkey AS idx, o_custkey % 60 AS hash FROM orders), c AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, count(*) OVER (PARTITION BY query_id, hash) AS same FROM m) SELECT query_id, idx, hash FROM c WHERE NOT (n > 5 AND same > 5 AND same > n * 0.34)")
 def frequent_query_seeds(spark, sf_dir):
     mins = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("query_id"), F.col("o_orderkey").alias("idx"), (F.col("o_custkey") % 60).alias("hash"))
@@ -518,3 +694,36 @@ def simulated_reads(spark, sf_dir):
 def simulated_pairs(spark, sf_dir):
     first, second = G.paired_reads(records(spark, sf_dir), G.ReadOptions(coverage=0.5, read_length=75, mean_insert=200, insert_std=20.0))
     return first.unionByName(second)
+
+
+@query("contig_shapes", "SELECT i AS ordinal, 'c' || (i + 1) AS name, CAST(500 AS INTEGER) AS length, true AS only_bases FROM range(200) t(i)")
+def contig_shapes(spark, sf_dir):
+    return random_contigs(spark, sf_dir).select("ordinal", "name", F.length("seq").alias("length"), F.col("seq").rlike("^[ACGT]*$").alias("only_bases"))
+
+
+def _places_sql(wanted: str, least: int) -> str:
+    """Reads of each record by its length, numbered over all records; everything drawn is in its place."""
+    return f"""WITH n AS (SELECT doc_id, name, CAST(floor({wanted}) AS BIGINT) AS n FROM (SELECT doc_id, name, length(seq) AS l FROM ({RECORDS})) WHERE l >= {least})
+SELECT name, n AS reads, CAST(sum(n) OVER (ORDER BY doc_id) - n + 1 AS BIGINT) AS first, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS last, true AS in_place FROM n WHERE n > 0"""
+
+
+def _places(spark, sf_dir, reads: DataFrame, at: int, turned: bool, length: int) -> DataFrame:
+    """Per record: reads, first and last number, and whether each stands in the record where its name says."""
+    parts = F.split(F.regexp_replace("name", "([.]dup[.][0-9]+)?(/[12])?$", ""), ":")
+    named = reads.select(parts[0].alias("name"), parts[1].cast("long").alias("number"), parts[at].cast("int").alias("start"), F.col("seq").alias("read"), "qual")
+    both = named.join(records(spark, sf_dir).select("name", "seq"), "name")
+    own = F.substring("seq", F.col("start"), F.lit(length))
+    right = ((S.reverse_complement(own) if turned else own) == F.col("read")) & (F.col("qual") == S.quality_profile(F.lit(length)))
+    return both.groupBy("name").agg(F.count("*").alias("reads"), F.min("number").alias("first"), F.max("number").alias("last"), F.min(right).alias("in_place"))
+
+
+@query("read_places", _places_sql("0.5 * l / 100", 100))
+def read_places(spark, sf_dir):
+    return _places(spark, sf_dir, simulated_reads(spark, sf_dir), 2, False, 100)
+
+
+@query("mate_places", _places_sql("0.25 * l / 75", 280))
+def mate_places(spark, sf_dir):
+    """The second mates: the reverse complement of the end of each fragment."""
+    _, second = G.paired_reads(records(spark, sf_dir), G.ReadOptions(coverage=0.5, read_length=75, mean_insert=200, insert_std=20.0))
+    return _places(spark, sf_dir, second, 3, True, 75)

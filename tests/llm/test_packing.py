@@ -62,26 +62,75 @@ def best_fit_decreasing(lengths, capacity):
     return sorted(gaps)
 
 
-def test_supersteps_equal_best_fit_decreasing():
+def test_a_sweep_equals_best_fit_decreasing():
     r = random.Random(2)
     for _ in range(60):
         capacity = r.choice([1, 7, 32, 100])
         lengths = [r.randint(1, r.choice([capacity, max(1, capacity // 5)])) for _ in range(r.randint(1, 300))]
-        steps = packing.supersteps(Counter(lengths), capacity)
+        gaps = [r.randint(1, capacity) for _ in range(r.randint(0, 80))]
+        counts = Counter(lengths)
+        placed, left, free = packing.sweep([(n, 0, c) for n, c in counts.items()], [(g, k, 1) for k, g in enumerate(gaps)], capacity)
         used = defaultdict(list)
-        for length, intervals in steps.items():
-            assert sorted(x for a, n, *_ in intervals for x in range(a, a + n)) == list(range(Counter(lengths)[length]))
-            for _, n, first, each, offset in intervals:
-                for k in range(n):
-                    used[first + k // each].append((offset + k % each * length, length))
-        gaps = []
-        for spans in used.values():
-            at = 0
+        ranks = defaultdict(list)
+        for length, rank, n, first, each, offset in placed:
+            ranks[length] += range(rank, rank + n)
+            for k in range(n):
+                used[first + k // each].append((offset + k % each * length, length))
+        for length, rank, n in left:
+            ranks[length] += range(rank, rank + n)
+        assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+        for k, spans in used.items():
+            at = capacity - gaps[k]
             for offset, length in sorted(spans):
                 assert offset == at
                 at += length
-            gaps.append(capacity - at)
-        assert sorted(gaps) == best_fit_decreasing(lengths, capacity)
+            assert at <= capacity
+        want, out = list(gaps), Counter()
+        for n in sorted(lengths, reverse=True):
+            fit = [g for g in want if g >= n]
+            if fit:
+                want.remove(min(fit))
+                want.append(min(fit) - n)
+            else:
+                out[n] += 1
+        assert Counter({n: c for n, _, c in left}) == out or sum(out.values()) == sum(c for _, _, c in left)
+        assert sorted(g for g in want if g) == sorted(g for g, _, n in free for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["mixed", "small", "large"])
+def test_supersteps_need_as_few_sequences_as_best_fit_decreasing(spark, kind):
+    r = random.Random(3)
+    draw = {"mixed": lambda: r.randint(1, 256), "small": lambda: min(256, int(r.expovariate(1 / 15)) + 1), "large": lambda: r.randint(70, 256)}[kind]
+    lengths = [draw() for _ in range(4000)]
+    df = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    got = packing.best_fit(df, 256).collect()
+    seqs = defaultdict(list)
+    for g in got:
+        seqs[g["sequence_id"]].append((g["offset"], g["length"]))
+    for own in seqs.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 256
+    assert sorted(g["doc_id"] for g in got) == list(range(4000))
+    assert len(seqs) <= len(best_fit_decreasing(lengths, 256))
+
+
+def test_registered_query_on_documents(spark):
+    from strandframe.llm import queries
+
+    got = queries.op4_packing(spark, "/root/testdata/sf0.001").collect()
+    tok = Tokenizer.from_file(BYTE)
+    tok.encode_special_tokens = True
+    want = set()
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        first = (len(ids) - 1) % 1024 + 1
+        for k, (a, b) in enumerate([(0, first)] + [(a, a + 1024) for a in range(first, len(ids), 1024)]):
+            want.add((r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    assert {(g["doc_id"], g["piece"], g["start"], g["length"], g["ids_crc32"]) for g in got} == want and len(got) == len(want)
+    used = defaultdict(int)
+    for g in got:
+        used[g["sequence_id"]] += g["length"]
+    assert max(used.values()) <= 1024 and len(used) == len(best_fit_decreasing([g["length"] for g in got], 1024))
 
 
 def test_pack_documents(spark):

@@ -145,3 +145,42 @@ def test_interleaving(spark):
         R.pair_format(True, False)
     upper = R.transform_records(one, lambda r: None if r["ordinal"] else r | {"seq": "T"})
     assert [(r["name"], r["seq"]) for r in upper.collect()] == [("r1", "T")] and R.transform_records(one, None) is one
+
+
+def test_a_lone_record_is_an_error_whatever_is_read(spark):
+    one = spark.createDataFrame([(0, "a", "", "AC", None), (1, "b", "", "GT", None)], "ordinal long, name string, description string, seq string, qual string")
+    for pair in ((one, one.limit(1)), (one.limit(1), one)):
+        rows = R.interleave(*pair)
+        for act in (rows.count, rows.select("seq").collect, rows.select("mate").collect):
+            with pytest.raises(Exception, match="without a partner"):
+                act()
+
+
+def test_translations_equal_translate(spark):
+    seqs = ["GATCGCGAATGAN", "", "ac", None, "atgUGAuga", "ATÉGTG", "--ATGNNN"]
+    rows = spark.createDataFrame([(s,) for s in seqs], "seq string").select("seq", S.translations("seq", (1, 4, 11, 99)).alias("t"), *(S.translate("seq", c).alias(f"e{c}") for c in (1, 4, 11, 99))).collect()
+    for r in rows:
+        for c in (1, 4, 11):
+            assert r["t"][f"code_{c}"] == r[f"e{c}"], r
+        assert r["t"]["code_99"] == (None if r["seq"] is None else "X")
+
+
+def test_gap_runs_of_odd_columns(spark):
+    rows = spark.createDataFrame([("--A",), (None,), ("",), ("É--n",), ("-",), ("-A-",)], "seq string").select(IV.gap_runs(F.col("seq")).alias("g")).collect()
+    assert [None if r["g"] is None else [tuple(x) for x in r["g"]] for r in rows] == [[(0, 2)], None, [], [(1, 4)], [(0, 1)], [(0, 1), (2, 3)]]
+
+
+def test_runs_of_one_layout_are_merged(spark):
+    t = spark.createDataFrame([(1, "A")], "ordinal long, seq string")
+    assert [r["run_index"] for r in R.merge_runs([t, t], [("PAIRED", ".fastq.gz")] * 2).collect()] == [0, 1]
+    with pytest.raises(ValueError, match="layout"):
+        R.merge_runs([t, t], [("PAIRED", ".fastq.gz"), ("SINGLE", ".fastq.gz")])
+    with pytest.raises(ValueError):
+        R.merge_runs([])
+
+
+def test_unpaired_files_are_an_error(spark):
+    own = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b")], "run string, position int, filename string")
+    assert R.pair_files(own, own).count() == 2
+    with pytest.raises(Exception, match="without a partner"):
+        R.pair_files(own, own.limit(1)).count()

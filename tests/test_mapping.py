@@ -53,6 +53,44 @@ def test_sketch_covers_every_full_window():
                 assert places & {p for x, p in window if x == low}
 
 
+def plain_sketch(seq, k, w):
+    """The rules of minimizers, base by base: one pending k-mer, settled when an equal or smaller one comes or it leaves the window."""
+    h, strand, valid = M.kmers(seq, k)
+    hs, vs, none = h.tolist(), valid.tolist(), int(M.ABSENT)
+    out, low, low_at = [], none, -1
+    for i, (x, v) in enumerate(zip(hs, vs, strict=True)):
+        if not v:
+            low = none
+            continue
+        window = range(max(i - w + 1, i - v + k, 0), i + 1)
+        if v == w + k - 1 and low != none:
+            out += [j for j in window if j < i and hs[j] == low and j != low_at]
+        if x <= low:
+            if v >= w + k and low != none:
+                out.append(low_at)
+            low, low_at = x, i
+        elif low != none and i - low_at >= w:
+            out.append(low_at)
+            low = min(hs[j] for j in window)
+            low_at = max(j for j in window if hs[j] == low)
+            out += [j for j in window if hs[j] == low and j != low_at] if low != none else []
+    out += [low_at] if low != none else []
+    return [(hs[j], j - k + 1, int(strand[j])) for j in out]
+
+
+def test_sketches_of_many_sequences_equal_plain_ones():
+    r = random.Random(12)
+    for _ in range(40):
+        k, w = r.randint(1, 6), r.randint(1, 9)
+        seqs = ["".join(r.choices(r.choice(["ACGT", "AC", "ACGTN", "AT", "A"]), k=r.randint(0, 80))) for _ in range(25)]
+        edge = np.cumsum([0, *map(len, seqs)])
+        row, number, h, pos, strand = M.sketch_many(np.frombuffer("".join(seqs).encode(), np.uint8), edge, k, w)
+        for n, seq in enumerate(seqs):
+            own = row == n
+            assert number[own].tolist() == list(range(own.sum()))
+            assert list(zip(h[own].tolist(), pos[own].tolist(), strand[own].tolist())) == plain_sketch(seq, k, w) == M.sketch(seq, k, w), (seq, k, w)
+
+
 def test_rescue_keeps_the_first_slots():
     assert sorted(M.rescued([5, 5, 3], 2, 20)) == [1, 2]
     assert M.rescued([30, 30], 2, 20) == []

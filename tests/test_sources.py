@@ -123,6 +123,20 @@ def test_command_line(spark, tmp_path, capsysbinary, monkeypatch):
     assert (tmp_path / "b.fa").read_text().count("\n") == (tmp_path / "out.fa").read_text().count("\n") == 4 * 4 * 5
 
 
+def test_command_line_errors_and_empty_inputs(spark, tmp_path, capsysbinary):
+    fasta, empty = tmp_path / "a.fa", tmp_path / "none.fa"
+    fasta.write_text(">a\nACGTNN\n")
+    empty.write_text(">only-a-name\n")
+    with pytest.raises(SystemExit, match="sample"):
+        cli.main(["to-fasta", "-i", str(fasta), "--sample", "x"])
+    with pytest.raises(SystemExit, match="both"):
+        cli.main(["to-perfect-reads", str(fasta), "-1", str(tmp_path / "f")])
+    capsysbinary.readouterr()
+    cli.main(["stats", "-t", str(fasta), str(empty)])
+    lines = capsysbinary.readouterr().out.decode().splitlines()
+    assert len(lines) == 3 and lines[2].split("\t")[1:5] == ["0", "0", "0.00", "0"]
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
