@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, new_uri, save, shared_root  # noqa: F401  used by the operators as common.save and so on
+
 #: Bytes of text that a Python stage works on at once; a single longer text comes alone.
 TEXT_BYTES = 2 << 20
 #: Characters of a sampled text that a model is trained on at most.
@@ -83,36 +83,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a full URI.
-
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    a temporary folder is made and set for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not (spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="strandframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    uri = fs.makeQualified(path).toString().rstrip("/")
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
-def new_uri(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, tag: str, compression: str | None = None) -> tuple[DataFrame, str]:
-    """Write a table into the shared folder and read it back: lineage ends there, lost executors cost a reread."""
-    spark = df.sparkSession
-    uri = new_uri(spark, tag)
-    df.write.parquet(uri, compression=compression)
-    return spark.read.schema(df.schema).parquet(uri), uri
-
-
 def load(uri: str) -> dict[str, np.ndarray]:
     """The columns of a small saved table of numbers, for tasks."""
     import pyarrow.parquet as pq
@@ -122,11 +92,55 @@ def load(uri: str) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def drop(spark: SparkSession, *uris: str) -> None:
-    """Delete tables that no later result reads."""
-    for uri in uris:
-        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Of numbers by monotonically_increasing_id, the bits above these are the partition.
+PART_BITS = 33
+
+
+def by_part(rows: DataFrame, tag: str, *values: str) -> str:
+    """Write distinct nodes, numbers by monotonically_increasing_id, with further columns in a folder for each partition that they come from."""
+    uri = new_uri(rows.sparkSession, tag)
+    rows.select("node", *values, F.shiftright("node", PART_BITS).alias("part")).repartition("part").write.partitionBy("part").parquet(uri)
+    return uri
+
+
+def listed(uri: str, value: str | None = None) -> Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]:
+    """For tasks: whether each of an array of nodes is in a list that `by_part` wrote, and if asked the value there (else 0).
+
+    A task reads the parts it meets only, so that wide rows are filtered where they are, without a shuffle.
+    """
+    from pyarrow import fs as arrow_fs
+    from pyarrow import parquet as pq
+
+    fs, root = open_fs(uri)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def part(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in held:
+            held.clear()
+            own = values = np.empty(0, np.int64)
+            if fs.get_file_info(f"{root}/part={k}").type == arrow_fs.FileType.Directory:
+                found = pq.read_table(f"{root}/part={k}", filesystem=fs, columns=["node", *([value] if value else [])], partitioning=None)
+                own = found.column(0).to_numpy()
+                by = np.argsort(own)
+                own, values = own[by], found.column(1).to_numpy()[by] if value else values
+            held[k] = own, values
+        return held[k]
+
+    def has(nodes: np.ndarray):
+        out, of = np.zeros(len(nodes), bool), np.zeros(len(nodes), np.int64)
+        parts = nodes >> PART_BITS
+        for k in np.unique(parts).tolist():
+            own, values = part(k)
+            here = np.flatnonzero(parts == k)
+            if len(own):
+                at = np.minimum(np.searchsorted(own, nodes[here]), len(own) - 1)
+                hit = own[at] == nodes[here]
+                out[here] = hit
+                if value:
+                    of[here[hit]] = values[at[hit]]
+        return (out, of) if value else out
+
+    return has
 
 
 def sample(rows: DataFrame, n: int, key: str, text: str) -> list:

@@ -35,10 +35,15 @@ _FLIP, _TIMES, _MIX = _DRAWS[0], _DRAWS[1] | np.uint64(1), (_DRAWS[2] | np.uint6
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; those of a blank text are one that no other text has."""
+    """Sorted hashes of the distinct shingles; a blank text has one that no other text has."""
     return np.unique(np.concatenate([*simhash.hashes(text, size)] or [np.zeros(1, np.uint64)]))
 
 
+def own_set(text: str | None) -> np.ndarray:
+    """The set of a text's shingles as it is compared: 32 bits of each hash."""
+    return np.unique((shingles(text) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
 def cells(own: np.ndarray) -> np.ndarray:
     """The keys of the cells of a shingle set."""
     low = np.full(BANDS * ROWS, ~np.uint64(0))
@@ -59,14 +64,16 @@ def _sketches(batches):
         yield common.record_batch(id=batch.column("id"), node=batch.column("node"), fp=np.array(prints, np.uint64).view(np.int64), cells=_lists(found))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+def _lists(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, kind), *arrays])))
 
 
-def _sets(batches):
+def _sets(batches, uri: str):
     common.resident("similar", lambda: None)
+    wanted = common.listed(uri)
     for batch in common.slices(batches, most=1 << 20):  # sets are as large as texts
-        yield common.record_batch(node=batch.column("node"), own=_lists([shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]))
+        batch = batch.filter(pa.array(wanted(batch.column("node").to_numpy())))
+        yield common.record_batch(node=batch.column("node"), own=_lists([own_set(t) for t in batch.column("text").to_pylist()], np.int32))
 
 
 def link_apart(node: np.ndarray, label: np.ndarray, own: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +125,11 @@ def _apart(batches, least: float):
 
 
 def shingle_sets(nodes: DataFrame, texts: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    return common.save(texts.join(nodes.distinct(), "node", "left_semi").mapInArrow(_sets, "node long, own array<long>"), tag)
+    """(node, own) of the nodes, from texts (node, text), whose rows stay where they are."""
+    uri = common.by_part(nodes.distinct(), "wanted")
+    sets, sets_uri = common.save(texts.mapInArrow(lambda b: _sets(b, uri), "node long, own array<int>"), tag)
+    common.drop(texts.sparkSession, uri)
+    return sets, sets_uri
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, str]:
@@ -154,7 +165,9 @@ def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     near, near_uri = verified(pairs, texts, least)
     roots, roots_uri = common.components(near)
     labelled, labelled_uri = common.save(members.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("label")), "labelled")
-    mixed = labelled.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a < b").select("cell", "n")
+    # cells of the same members count once
+    same = F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n")
+    mixed = labelled.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b"), *same).where("a < b").groupBy("x", "y", "n").agg(F.min("cell").alias("cell")).select("cell", "n")
     parts = F.ceil(F.col("n") / CELL_ROWS).cast("int")
     # large cells are dealt out as pairs of salted parts, which together see every pair
     dealt = (
@@ -171,7 +184,12 @@ def one_of_each(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
 
     smallest = F.min(F.struct("last", "id", "node"))
     kept = groups.join(final, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(smallest.alias("best")).select("best.node")
-    # what goes is the shorter list
-    gone, _ = common.save(sketched.select("node").join(kept, "node", "left_anti"), "gone")
+    gone = common.by_part(sketched.select("node").join(kept, "node", "left_anti"), "gone")
     common.drop(spark, groups_uri, sketched_uri, members_uri, pairs_uri, near_uri, roots_uri, labelled_uri, dealt_uri, sets_uri, more_uri, final_uri)
-    return rows.join(gone.withColumnRenamed("node", key), key, "left_anti").select(docs.columns)
+
+    def remaining(batches):
+        out = common.listed(gone)
+        for batch in batches:
+            yield batch.filter(pa.array(~out(batch.column(key).to_numpy())))
+
+    return rows.mapInArrow(remaining, rows.schema).select(docs.columns)
