@@ -99,7 +99,7 @@ def _spread(batches):
             for t in range(TABLES):
                 own, beside = lattice.cells(x, t)
                 for k, cell in enumerate([own, *beside.T]):
-                    yield pd.DataFrame({"node": part["node"], "copies": part["copies"], "tab": t, "home": k == 0, "cell": cell, "embedding": part["embedding"]})
+                    yield pd.DataFrame({"node": part["node"], "tab": t, "home": k == 0, "cell": cell})
 
 
 def _met_before(lattice: Lattice, x: np.ndarray, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
@@ -204,27 +204,29 @@ def _link(batches, threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component, kept) of every row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("embedding"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     good = F.coalesce(F.exists("embedding", lambda v: v != 0) & ~F.exists("embedding", lambda v: F.coalesce(bad(v), F.lit(True))), F.lit(False))
     sound = rows.where(good)
     reps = sound.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     reps, reps_uri = common.save(reps.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
-    routed, routed_uri = common.save(
-        reps.select("node", "copies", "embedding").mapInPandas(_spread, "node long, copies long, tab int, home boolean, cell long, embedding array<float>"), "lattice"
-    )
-    hot, hot_uri = common.save(routed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS), "hot-cells")
-    dealt = (
-        routed.join(hot, "cell", "left")
-        .withColumn("parts", F.coalesce(F.ceil(F.col("n") / CELL_ROWS), F.lit(1)).cast("int"))
+    routed, routed_uri = common.save(reps.select("node", "embedding").mapInPandas(_spread, "node long, tab int, home boolean, cell long"), "lattice")
+    # only cells where someone meets a stored vector get vectors; until then numbers alone are shuffled
+    worth = routed.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("stored")).where("n > 1 and stored").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("parts"))
+    worth, worth_uri = common.save(worth, "met-cells")
+    members, members_uri = common.save(
+        routed.join(worth, "cell")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
         .withColumn("cell", F.when(F.col("parts") > 1, F.xxhash64("cell", "low", "high")).otherwise(F.col("cell")))
-        .select("cell", "node", "copies", "tab", "home", "own", "low", "high", "embedding")
+        .select("cell", "node", "tab", "home", "own", "low", "high"),
+        "members",
     )
+    dealt = members.join(reps.select("node", "copies", "embedding"), "node")
     found, found_uri = common.save(
         dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda b: _link(b, threshold), "node long, links long, root long"), "vector-links"
     )
@@ -237,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     smallest, smallest_uri = common.save(classes.groupBy("root").agg(F.min("id").alias("component")), "smallest")
     named, named_uri = common.save(classes.join(smallest, "root").select("node", "n_links", "component"), "named")
     by_vector, _ = common.save(reps.join(named, "node").select("embedding", "n_links", "component"), "by-vector")
-    common.drop(spark, reps_uri, routed_uri, hot_uri, found_uri, roots_uri, classes_uri, smallest_uri, named_uri)
+    common.drop(spark, reps_uri, routed_uri, worth_uri, members_uri, found_uri, roots_uri, classes_uri, smallest_uri, named_uri)
     linked = sound.join(by_vector, "embedding").select("id", "n_links", "component")
     alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))

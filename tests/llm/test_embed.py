@@ -72,6 +72,13 @@ def test_recall_at_the_threshold(spark):
     assert max(links.values()) <= 1
 
 
+def test_double_vectors_and_ids_at_the_ends_of_their_range(spark):
+    rows = [((1 << 62) + 1, [1e-60, 2e-60, 3e-60]), (-(1 << 63), [0.1, 0.2, 0.3]), ((1 << 63) - 1, [0.3, -0.2, 0.1]), (None, [1e200, 2e200, 3e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r["id"], r["n_links"], r["component"]) for r in embed.near_duplicates(df).collect()), key=str)
+    assert got == sorted(brute(rows), key=str) and got[0][1] == 2
+
+
 def test_query_over_the_table(spark):
     data = "/root/testdata/sf0.01"
     rows = [(r["vec_id"], r["embedding"]) for r in common.table(spark, data, "embeddings").collect()]
