@@ -20,7 +20,7 @@ import uuid
 import zlib
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +31,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, record_type string, payload_digest string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Ranges closer than GAP are read at once, up to READ bytes.
-GAP, READ = 1 << 16, 1 << 23
+GAP, READ = 1 << 16, 1 << 22
+#: Bytes of archives that a task reads, on average.
+TASK = 1 << 23
 
 
 def sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC 1.1 record; a revisit if it refers to another page."""
     digest, revisit = sha1(payload), refers_to is not None
     name = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{digest}')}>"
@@ -52,7 +54,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {refers_to}"] if revisit else []),
-        *([f"X-Page: {page_id}"] if page_id != common.NULL_ID else []),
+        *([f"X-Page: {page_id}"] if page_id is not None else []),
         f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -73,44 +75,47 @@ def parse(data: bytes) -> tuple[dict[str, str], int, bytes]:
     return fields, size, payload
 
 
-def revisits(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, hash, refers_to) of pages whose payload an earlier page has."""
-    own = pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("hash"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least)
-    own, _ = common.save(own.select("page_id", "hash"), "hashes")
+def revisits(rows: DataFrame, least: int) -> DataFrame:
+    """(node, refers_to) of the rows (node, page_id, html) whose payload a page with a smaller id has."""
+    html = F.coalesce("html", F.lit(""))
+    own = rows.where(F.octet_length(html) >= least).select("node", "page_id", F.sha1(html).alias("hash"))
+    own, _ = common.save(own, "hashes")
     firsts, _ = common.save(own.groupBy("hash").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n"), "firsts")
-    return own.join(firsts, "hash").where("not (page_id <=> refers_to)").distinct()
+    return own.join(firsts, "hash").where("not (page_id <=> refers_to)").select("node", "refers_to")
 
 
 def write(pages: DataFrame, uri: str | None = None, least: int = 0) -> DataFrame:
-    """Archive all pages (page_id, url, html); the index of what was written."""
+    """Archive all pages (page_id, url, html); the index of what was written. Payloads stay where they are: only digests are shuffled."""
     spark = pages.sparkSession
     uri = uri or common.new_uri(spark, "warc")
-    later, _ = common.save(revisits(pages, least), "revisits")
-    hashed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("hash", F.sha1("html"))
-    same = hashed["page_id"].eqNullSafe(later["page_id"]) & (hashed["hash"] == later["hash"])
-    rows = hashed.join(later, same, "left").select(F.coalesce(hashed["page_id"], F.lit(common.NULL_ID)).alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
+    rows, rows_uri = common.save(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("node", F.monotonically_increasing_id()), "pages", "zstd")
+    later = common.by_part(revisits(rows, least), "revisits", "refers_to")
 
     def run(batches):
         fs, root = common.open_fs(uri)
         fs.create_dir(root, recursive=True)
-        file, out, at = f"part-{uuid.uuid4().hex}.warc.gz", None, 0
+        file, out, at, lookup = f"part-{uuid.uuid4().hex}.warc.gz", None, 0, common.listed(later, "refers_to")
         try:
-            for pdf in batches:
+            for batch in common.slices(batches, "html"):
+                known, refers = lookup(batch.column("node").to_numpy())
                 index = []
-                for page, url, html, refers_to in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
-                    payload = html.encode("utf-8", "surrogatepass")
+                for page, url, html, revisit, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), known.tolist(), refers.tolist(), strict=True):
+                    payload = (html or "").encode("utf-8", "surrogatepass")
                     z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = z.compress(record(page, url, payload, int(refers_to) if refers_to else None)) + z.flush()
+                    data = z.compress(record(page, url, payload, first if revisit else None)) + z.flush()
                     out = out or fs.open_output_stream(f"{root}/{file}", compression=None)
                     out.write(data)
-                    index.append((page, url, "revisit" if refers_to else "response", sha1(payload), f"{uri}/{file}", at, len(data)))
+                    index.append(("revisit" if revisit else "response", sha1(payload), f"{uri}/{file}", at, len(data)))
                     at += len(data)
-                yield pd.DataFrame(index, columns=[f.split()[0] for f in INDEX.split(", ")])
+                more = {n: pa.array(c) for n, c in zip(("record_type", "payload_digest", "file", "offset", "length"), zip(*index, strict=True), strict=True)}
+                yield common.record_batch(page_id=batch.column("page_id"), url=batch.column("url"), **more)
         finally:
             if out:
                 out.close()
 
-    return common.unkeyed(common.save(rows.mapInPandas(run, INDEX), "warc-index")[0], "page_id")
+    index, _ = common.save(rows.mapInArrow(run, INDEX), "warc-index")
+    common.drop(spark, rows_uri, later)
+    return index
 
 
 def ranges(index: DataFrame) -> DataFrame:
@@ -128,19 +133,22 @@ def read(index: DataFrame, keep: bool = False) -> DataFrame:
     """The records of the selected index rows, from the archives; with url and stored html if asked."""
 
     def run(batches):
-        for pdf in batches:
-            for file, first, last, places in zip(pdf["file"], pdf["first"], pdf["last"], pdf["places"], strict=True):
-                fs, path = common.open_fs(file)
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + (["target", "html"] if keep else [])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            for read in batch.to_pylist():
+                fs, path = common.open_fs(read["file"])
                 with fs.open_input_file(path) as f:
-                    data = f.read_at(last - first, first)
+                    data = f.read_at(read["last"] - read["first"], read["first"])
                 rows = []
-                for place in places:
-                    begin = place["offset"] - first
+                for place in read["places"]:
+                    begin = place["offset"] - read["first"]
                     fields, size, payload = parse(zlib.decompress(data[begin : begin + place["length"]], 31))
+                    page, refers = (int(fields[n]) if n in fields else None for n in ("X-Page", "X-Refers-To-Page"))
                     more = [fields["WARC-Target-URI"], payload.decode("utf-8", "surrogatepass")] if keep else []
-                    rows.append((int(fields.get("X-Page", common.NULL_ID)), size, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], int(fields.get("X-Refers-To-Page", common.NULL_ID)), *more))
-                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + (["target", "html"] if keep else []))
+                    rows.append((page, size, fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], refers, *more))
+                yield common.record_batch(**{n: pa.array(c, kind) for n, c, kind in zip(names, zip(*rows, strict=True), kinds, strict=False)})
 
-    schema = RECORD + (", target string, html string" if keep else "")
-    found = ranges(index).repartition("file", "first").mapInPandas(run, schema)
-    return common.unkeyed(common.unkeyed(found, "page_id"), "refers_to")
+    # as many tasks as the archives need, not the descriptions of their ranges
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return ranges(index).repartition(total // TASK + 1, "file", "first").mapInArrow(run, RECORD + (", target string, html string" if keep else ""))

@@ -36,6 +36,19 @@ def test_pages_come_back(spark, least, monkeypatch):
         assert gzip.decompress(Path(file.removeprefix("file://")).read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
+def test_ids_at_the_ends_of_their_range_and_the_registered_query(spark):
+    rows = [(-(1 << 63), "u", "<p>one</p>"), ((1 << 63) - 1, "u", "<p>one</p>"), (1 << 62, "u", None)]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read(index).collect()), key=str)
+    assert got == plain(rows)
+    from strandframe.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    pages = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op8_warc(spark, data).collect()), key=str)
+    assert got == plain(pages)
+
+
 def test_damage_is_seen():
     data = warc.record(1, "http://x", b"hello", None)
     assert warc.parse(data)[2] == b"hello"
