@@ -23,7 +23,7 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +34,14 @@ UNIT, RATE = 64, 8000
 #: Chunk sizes in bytes; a cut needs 13 zero bits of the hash of the last 32 bytes.
 LEAST, MOST, MASK = 2048, 65536, np.uint32(((1 << 13) - 1) << 19)
 #: Ranges with less than GAP bytes between them are read at once; a read takes READ bytes of samples about.
-GAP, READ = 1 << 14, 1 << 24
+GAP, READ = 1 << 14, 1 << 23
+#: Bytes of payloads that a task reads back, on average.
+TASK = 1 << 25
 #: The gear table: a fixed random number for each byte value.
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 PLACED = "at_pack string, at_offset long, doc_id long, n_bytes long, chunks array<struct<digest:binary,pack:string,offset:long,stored:int,size:int>>"
+CHUNKS = pa.list_(pa.struct([("digest", pa.binary()), ("pack", pa.string()), ("offset", pa.int64()), ("stored", pa.int32()), ("size", pa.int32())]))
 READ_BACK = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -100,31 +103,32 @@ def store(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id", text_
         fs.create_dir(root, recursive=True)
         pack, codec, places, out, at = f"pack-{uuid.uuid4().hex}", zstandard.ZstdCompressor(level=3), {}, None, 0
         try:
-            for pdf in batches:
-                rows = []
-                for doc, text in zip(pdf["id"], pdf["text"], strict=True):
+            for batch in common.slices(batches):
+                sizes, lists = [], []
+                for text in batch.column("text").to_pylist():
                     n, samples = payload(text)
                     media, begin, parts = to_wav(samples), 0, []
                     for end in cuts(media):
                         chunk = media[begin:end]
                         digest = hashlib.blake2b(chunk, digest_size=16).digest()
                         if digest not in places:
-                            if len(places) > 500_000:
+                            if len(places) > 200_000:
                                 places.clear()
                             data = codec.compress(chunk)
                             out = out or fs.open_output_stream(f"{root}/{pack}", compression=None)
                             out.write(data)
                             places[digest] = (at, len(data))
                             at += len(data)
-                        parts.append((digest, pack, *places[digest], end - begin))
+                        parts.append(dict(zip(("digest", "pack", "offset", "stored", "size"), (digest, pack, *places[digest], end - begin), strict=True)))
                         begin = end
-                    rows.append((pack, parts[0][2], doc, n, [dict(zip(("digest", "pack", "offset", "stored", "size"), p, strict=True)) for p in parts]))
-                yield pd.DataFrame(rows, columns=["at_pack", "at_offset", "doc_id", "n_bytes", "chunks"])
+                    sizes.append(n)
+                    lists.append(parts)
+                yield common.record_batch(at_pack=pa.array([pack] * len(lists)), at_offset=pa.array([x[0]["offset"] for x in lists], pa.int64()), doc_id=batch.column("id"), n_bytes=pa.array(sizes, pa.int64()), chunks=pa.array(lists, CHUNKS))
         finally:
             if out:
                 out.close()
 
-    placed, placed_uri = common.save(common.keyed(docs, id_col, text_col).mapInPandas(write, PLACED).withColumn("row", F.monotonically_increasing_id()), "placed")
+    placed, placed_uri = common.save(common.id_text(docs, id_col, text_col).mapInArrow(write, PLACED).withColumn("row", F.monotonically_increasing_id()), "placed")
     refs, refs_uri = common.save(placed.select("row", F.posexplode("chunks").alias("k", "c")).select("row", "k", "c.*"), "refs")
     # digests that stand in more than one place get one of them; all others stay as they are
     own = F.struct("pack", "offset", "stored")
@@ -165,34 +169,40 @@ def _read_ranges(fs, root: str, places: list[tuple[str, int, int]]) -> dict[tupl
 def read(lists: DataFrame, keep: bool = False) -> DataFrame:
     """Read every document's media back, verify it, and compute its features; with the samples themselves if asked."""
 
-    def groups(pdf):
+    def groups(batch):
+        """Parts of a batch with about READ bytes of media."""
+        lists = batch.column("chunks").to_pylist()
         size, begin = 0, 0
-        for k, chunks in enumerate(pdf["chunks"]):
+        for k, chunks in enumerate(lists):
             own = sum(c["size"] for c in chunks)
             if size and size + own > READ:
-                yield pdf.iloc[begin:k]
+                yield batch.slice(begin, k - begin), lists[begin:k]
                 size, begin = 0, k
             size += own
-        yield pdf.iloc[begin:]
+        if begin < len(lists):
+            yield batch.slice(begin), lists[begin:]
 
     def run(batches):
         codec = zstandard.ZstdDecompressor()
         for batch in batches:
-            for pdf in groups(batch):
-                if not len(pdf):
-                    continue
-                fs, root = common.open_fs(pdf["folder"].iloc[0])
-                stored = _read_ranges(fs, root, sorted({(c["pack"], c["offset"], c["stored"]) for cs in pdf["chunks"] for c in cs}))
-                rows = []
-                for doc, n, chunks in zip(pdf["doc_id"], pdf["n_bytes"], pdf["chunks"], strict=True):
+            for part, lists in groups(batch):
+                fs, root = common.open_fs(part.column("folder")[0].as_py())
+                stored = _read_ranges(fs, root, sorted({(c["pack"], c["offset"], c["stored"]) for cs in lists for c in cs}))
+                rows, kept = [], []
+                for chunks in lists:
                     parts = [codec.decompress(stored[c["pack"], c["offset"]]) for c in chunks]
-                    for c, part in zip(chunks, parts, strict=True):
-                        if hashlib.blake2b(part, digest_size=16).digest() != bytes(c["digest"]):
+                    for c, piece in zip(chunks, parts, strict=True):
+                        if hashlib.blake2b(piece, digest_size=16).digest() != c["digest"]:
                             raise ValueError(f"a chunk in {c['pack']} at {c['offset']} is damaged")
                     media = b"".join(parts)
                     samples = from_wav(media)
-                    rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples), *([samples] if keep else [])))
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in READ_BACK.split(", ")] + (["samples"] if keep else []))
-
-    ordered = lists.repartitionByRange("at_pack", "at_offset", F.xxhash64("doc_id")).sortWithinPartitions("at_pack", "at_offset")
-    return common.unkeyed(ordered.mapInPandas(run, READ_BACK + (", samples binary" if keep else "")))
+                    rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+                    kept += [samples] if keep else []
+                names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+                more = {n: pa.array(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
+                yield common.record_batch(doc_id=part.column("doc_id"), n_bytes=part.column("n_bytes"), **more, **({"samples": pa.array(kept, pa.binary())} if keep else {}))
+
+    # as many tasks as the media need, not their descriptions
+    total = lists.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    ordered = lists.repartitionByRange(total // TASK + 1, "at_pack", "at_offset", F.xxhash64("doc_id")).sortWithinPartitions("at_pack", "at_offset")
+    return ordered.mapInArrow(run, READ_BACK + (", samples binary" if keep else ""))

@@ -44,5 +44,26 @@ def test_documents_come_back(spark, monkeypatch, read):
     assert len(places) == len({bytes(d) for d, _, _ in places})  # one place for each distinct chunk
 
 
+def test_registered_query_on_documents(spark):
+    import struct
+
+    from strandframe.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        raw = (r["text"] or "").encode()
+        padded = raw + b"\0" * (64 if not raw else (64 - len(raw) % 64) % 64)
+        wav = b"RIFF" + struct.pack("<I", 36 + len(padded)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(padded)) + padded
+        levels = [b - 128 for b in padded]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(levels, levels[1:]))
+        bands = [sum(b // 32 == k for b in padded) / len(padded) for k in range(8)]
+        feature = f"{sum(levels) / len(levels):.4f},{(sum(x * x for x in levels) / len(levels)) ** 0.5:.4f},{crossings}," + ",".join(f"{b:.5f}" for b in bands)
+        want[r["doc_id"]] = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature)
+    got = queries.op2_media(spark, data).collect()
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert len(got) == len(want) and {g["doc_id"]: tuple(g[n] for n in names) for g in got} == want
+
+
 def test_empty_table(spark):
     assert media.read(media.store(spark.createDataFrame([], "doc_id long, text string"))).collect() == []
