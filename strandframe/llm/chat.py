@@ -31,45 +31,53 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("<\\."), F.lit("<")), F.lit("[\\."), F.lit("[")), F.lit("\\\\"), F.lit("\\"))
 
 
-def merged(turns: Column) -> Column:
-    """array<struct<role, texts>> of an ordered array<struct<turn, role, text>>."""
-    none = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once, however often and wherever `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def add(blocks, t):
-        last = F.get(blocks, F.size(blocks) - 1)
-        longer = F.concat(
-            F.slice(blocks, F.lit(1), F.size(blocks) - 1),
-            F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))),
-        )
-        more = F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(blocks) > 0) & (last["role"] == t["role"]), longer).otherwise(more)
 
-    return F.aggregate(turns, none, add)
+def running(sizes: Column) -> Column:
+    """Sums of all sizes before each place, by aggregation over parts of about the square root of the array, so that little is copied."""
+    zero = lambda: F.expr("named_struct('at', 0L, 'out', cast(array() as array<bigint>))")
+    add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
+    def over(own):
+        part = F.greatest(F.lit(256), F.ceil(F.sqrt(F.size(own)))).cast("int")
+        cuts = F.sequence(F.lit(0), F.floor((F.size(own) - 1) / part).cast("int"))
+        sums = F.transform(cuts, lambda k: F.aggregate(F.slice(own, k * part + 1, part), zero(), add))
+        return F.when(F.size(own) > 0, bound(sums, joined)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-def written(blocks: Column) -> Column:
-    block = lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(TEXT), F.array_join(b["texts"], JOIN), F.lit(CLOSE))
-    return F.array_join(F.transform(blocks, block), "")
+    def joined(sums):
+        before = F.aggregate(F.transform(sums, lambda s: s["at"]), zero(), add)["out"]
+        return F.flatten(F.zip_with(sums, before, lambda s, b: F.transform(s["out"], lambda x: x + b)))
 
+    return bound(sizes, over)
 
-def loss_spans(blocks: Column) -> Column:
-    """array<struct<start, length>> over the code points of written(blocks)."""
-    start = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>))")
 
-    def add(acc, b):
-        head = len(OPEN) + F.char_length(b["role"]) + len(TEXT)
+def opened(turns: Column) -> Column:
+    """The ordered turns as array<struct<role, text, first>>: first if no turn of the same role stands right before."""
+    roles = F.transform(turns, lambda t: t["role"])
+    before = F.concat(F.array(F.lit(None).cast("string")), roles)
+    pairs = F.zip_with(turns, F.slice(before, F.lit(1), F.greatest(F.size(roles), F.lit(1))), lambda t, b: F.struct(t["role"].alias("role"), t["text"].alias("text"), (~t["role"].eqNullSafe(b)).alias("first")))
+    return F.when(F.size(turns) > 0, pairs).otherwise(F.expr("cast(array() as array<struct<role:string,text:string,first:boolean>>)"))
 
-        def one(inner, text):
-            n = F.char_length(text).cast("long")
-            own = F.when(
-                b["role"] == LEARNED, F.array(F.struct(inner["at"].alias("start"), n.alias("length")))
-            ).otherwise(F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)"))
-            return F.struct((inner["at"] + n + len(JOIN)).alias("at"), F.concat(inner["spans"], own).alias("spans"))
 
-        texts = F.aggregate(b["texts"], F.struct((acc["at"] + head).cast("long").alias("at"), acc["spans"].alias("spans")), one)
-        return F.struct((texts["at"] - len(JOIN) + len(CLOSE)).cast("long").alias("at"), texts["spans"].alias("spans"))
+def head(t: Column, place: Column) -> Column:
+    """What is written between the text before and a turn's text: it joins a turn of the same role, else a block is closed and one opened."""
+    return F.when(t["first"], F.concat(F.when(place > 0, CLOSE).otherwise(""), F.lit(OPEN), t["role"], F.lit(TEXT))).otherwise(JOIN)
 
-    return F.aggregate(blocks, start, add)["spans"]
+
+def written(turns: Column) -> Column:
+    return F.concat(F.array_join(F.transform(turns, lambda t, k: F.concat(head(t, k), t["text"])), ""), F.when(F.size(turns) > 0, CLOSE).otherwise(""))
+
+
+def placed(turns: Column) -> Column:
+    """array<struct<role, text, start, length>> over the code points of written(turns)."""
+    n = lambda c: F.char_length(c).cast("long")
+    heads = F.transform(turns, lambda t, k: n(head(t, k)))
+    sizes = F.zip_with(heads, turns, lambda h, t: h + n(t["text"]))
+    starts = F.zip_with(running(sizes), heads, lambda s, h: s + h)
+    return F.zip_with(turns, starts, lambda t, s: F.struct(t["role"].alias("role"), t["text"].alias("text"), s.alias("start"), n(t["text"]).alias("length")))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -79,25 +87,28 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     )
     turns = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     safe = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    blocks = turns.select("conv_id", merged(safe).alias("blocks"))
-    return blocks.select("conv_id", written(F.col("blocks")).alias("formatted"), loss_spans(F.col("blocks")).alias("loss_spans"))
+    merged = turns.select("conv_id", opened(safe).alias("turns"))
+    learned = F.transform(F.filter(placed(F.col("turns")), lambda t: t["role"] == LEARNED), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return merged.select("conv_id", written(F.col("turns")).alias("formatted"), learned.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns array<struct<role, text>>, learned array<string>) parsed from the formatted strings alone."""
+    """(conv_id, formatted, turns array<struct<role, text>>, learned array<string>) parsed from the formatted strings and masks alone.
+
+    The text under the mask is read by the places of the parsed texts, which are in ascending order as the mask is; a mask
+    that holds anything but whole texts is an error.
+    """
     blocks = F.filter(F.split("formatted", CLOSE), lambda b: b != "")
-    parts = formatted.withColumn("parts", F.transform(blocks, lambda b: F.split(b, r"\[:\]", 2)))
 
     def turns(p):
-        role = unescape(F.substring(F.get(p, F.lit(0)), len(OPEN) + 1, 1 << 30))
-        return F.transform(F.split(F.get(p, F.lit(1)), r"\[\+\]", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
-
-    return parts.select(
-        "conv_id",
-        "formatted",
-        F.flatten(F.transform("parts", turns)).alias("turns"),
-        F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))).alias("learned"),
-    )
+        role = F.substring(F.get(p, F.lit(0)), len(OPEN) + 1, 1 << 30)
+        return F.transform(F.split(F.get(p, F.lit(1)), r"\[\+\]", -1), lambda t, k: F.struct(role.alias("role"), t.alias("text"), (k == 0).alias("first")))
+
+    parsed = formatted.select("conv_id", "formatted", "loss_spans", F.flatten(F.transform(F.transform(blocks, lambda b: F.split(b, r"\[:\]", 2)), turns)).alias("raw"))
+    parsed = parsed.select("conv_id", "formatted", "loss_spans", placed(F.col("raw")).alias("raw"))
+    under = F.filter("raw", lambda t: t["role"] == LEARNED)
+    matched = F.zip_with(under, "loss_spans", lambda t, s: F.when(t["start"].eqNullSafe(s["start"]) & t["length"].eqNullSafe(s["length"]), unescape(t["text"])).otherwise(F.raise_error(F.lit("a loss mask does not cover whole texts")).cast("string")))
+    return parsed.select("conv_id", "formatted", F.transform("raw", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))).alias("turns"), matched.alias("learned"))
 
 
 def digests(parsed: DataFrame) -> DataFrame:

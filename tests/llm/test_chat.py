@@ -1,4 +1,8 @@
 import hashlib
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from strandframe.llm import chat, queries
 
@@ -31,3 +35,21 @@ def test_odd_texts_come_back(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == ({}, {})
+
+
+def test_long_conversations_take_linear_time(spark):
+    turns = spark.range(20_000).selectExpr("1L conv_id", "id turn", "if(id % 3 = 0, 'user', 'assistant') role", "concat('é <', id) text")
+    began = time.time()
+    got = chat.digests(chat.read_back(chat.format_conversations(turns))).collect()[0]
+    assert time.time() - began < 30
+    texts = [f"é <{k}" for k in range(20_000)]
+    learned = "".join(t for k, t in enumerate(texts) if k % 3)
+    assert got["n_turns"] == 20_000 and got["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{'assistant' if k % 3 else 'user'}\n{t}\n" for k, t in enumerate(texts)).encode()).hexdigest()
+
+
+def test_a_mask_of_other_places_is_an_error(spark):
+    df = chat.format_conversations(spark.createDataFrame([(1, 0, "assistant", "ab")], "conv_id long, turn long, role string, text string"))
+    wrong = df.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    with pytest.raises(Exception, match="whole texts"):
+        chat.read_back(wrong).collect()
