@@ -31,7 +31,7 @@ _KIND = bytes(0 if b < 33 or b == 127 else 8 if b > 127 or b == 39 else 1 if chr
 class Memo:
     """Places of distinct chunks in a store of their ids. It starts anew beyond `entries` chunks or `chars` characters."""
 
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], entries: int = 250_000, chars: int = 8_000_000):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], entries: int = 450_000, chars: int = 16_000_000):
         self.encode_many, self.entries, self.chars = encode_many, entries, chars
         self.reset()
 

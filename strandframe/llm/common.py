@@ -40,8 +40,8 @@ def trim() -> None:
 def resident(key: object, build: Callable[[], object]):
     """What one operator keeps in a Python worker between tasks; what another operator kept there goes, as workers are shared."""
     if key not in _RESIDENT:
-        if libc := _libc():  # arrays from 256 KB on are returned as soon as they are freed, and small ones share one arena
-            libc.mallopt(-3, 1 << 18)
+        if libc := _libc():  # large arrays are returned as soon as they are freed, and all others share one arena
+            libc.mallopt(-3, 4 << 20)
             libc.mallopt(-8, 1)
         _RESIDENT.clear()
         pa.set_memory_pool(pa.system_memory_pool())
