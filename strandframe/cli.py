@@ -16,7 +16,7 @@ from . import __version__
 from .operators import generators as G
 from .operators import relational as R
 from .operators import stats as ST
-from .sources import datasource, remote
+from .sources import datasource, reads, remote
 
 
 def _session() -> SparkSession:
@@ -104,14 +104,34 @@ def perfect_reads(args) -> None:
 
 
 def download(args) -> None:
+    genome = args.accessions[0].strip().upper().startswith(("GCF_", "GCA_"))
+    if genome and (args.api_key or args.email or args.source != "refseq"):
+        raise SystemExit("--api-key, --email and --source are for sequence downloads")
+    key, email = args.api_key or os.environ.get("NCBI_API_KEY"), args.email or os.environ.get("NCBI_EMAIL")
     plan = remote.plan(args.accessions, args.format, args.db)
-    remote.download(plan, args.output, remote.http_get, api_key=args.api_key, email=args.email, nucleotide=args.nucleotide, source=args.source, assembly=args.assembly)
+    remote.download(plan, args.output, remote.http_get, api_key=key, email=email, nucleotide=args.nucleotide, source=args.source, assembly=args.assembly)
 
 
 def download_reads(args) -> None:
-    runs = remote.accession_list(args.runs, args.accessions_file)
-    for run in runs:
-        remote.download_reads(run, args.outdir, remote.http_get, attempts=args.attempts)
+    try:
+        runs = reads.accession_list(args.runs, args.accessions_file)
+        options = reads.Options(
+            folder=args.output_dir,
+            prefix=args.prefix.strip(),
+            metadata=args.ena_meta,
+            single_object=args.ena_meta_single_object,
+            methods=reads.parse_methods(args.method),
+            attempts=args.attempts,
+            delay=(args.retry_delay_min, args.retry_delay_max),
+            stall=args.download_stall_timeout,
+            program=args.sracha_bin,
+            threads=args.sracha_threads,
+            connections=args.sracha_connections,
+            log=(lambda text: print(text, file=sys.stderr)) if args.verbose else None,
+        )
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
+    reads.download_all(runs, options, args.merge, args.keep_originals)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -161,19 +181,31 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--no-n", action="store_true")
     c = add("download", download, False)
     c.add_argument("accessions", nargs="+")
-    c.add_argument("-o", "--output", required=True)
-    c.add_argument("--format", default="fasta")
+    c.add_argument("-o", "--output", default="-")
+    c.add_argument("--format", default="auto")
     c.add_argument("--db")
     c.add_argument("--nucleotide", nargs="?", const="first", choices=["first", "all"])
-    c.add_argument("--source", default="all", choices=["all", "refseq", "insdc"])
+    c.add_argument("--source", default="refseq", choices=["all", "refseq", "insdc"])
     c.add_argument("--assembly", default="")
     c.add_argument("--api-key")
     c.add_argument("--email")
     c = add("download-reads", download_reads, False)
     c.add_argument("runs", nargs="?")
     c.add_argument("--accessions-file")
-    c.add_argument("--outdir", default=".")
+    c.add_argument("-o", "--output-dir", default=".")
+    c.add_argument("--prefix", default="")
+    c.add_argument("--ena-meta", action="store_true")
+    c.add_argument("--ena-meta-single-object", action="store_true")
+    c.add_argument("--method", default="ena", help="one or several of ena, sracha, tried in this order")
     c.add_argument("--attempts", type=int, default=3)
+    c.add_argument("--sracha-bin", default=reads.PROGRAM)
+    c.add_argument("-t", "--sracha-threads", type=int, default=1)
+    c.add_argument("--sracha-connections", type=int, default=1)
+    for flag, value in (("--retry-delay-min", 5.0), ("--retry-delay-max", 20.0), ("--download-stall-timeout", 300.0)):
+        c.add_argument(flag, type=float, default=value, metavar="SECONDS")
+    c.add_argument("--merge", action="store_true")
+    c.add_argument("--keep-originals", action="store_true")
+    c.add_argument("-v", "--verbose", action="store_true")
     return p
 
 

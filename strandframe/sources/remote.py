@@ -1,4 +1,4 @@
-"""Downloads of genomes, sequences and reads, over a transport that tests replace.
+"""Downloads of genomes and sequences, over a transport that tests replace.
 
 A transport is a function from a URL to bytes; it raises NotFound where the server has nothing. Planning (which
 database, which batches, which form of the file wins) is plain code on few accessions and runs on the driver.
@@ -6,23 +6,22 @@ database, which batches, which form of the file wins) is plain code on few acces
 
 from __future__ import annotations
 
-import hashlib
 import io
-import json
 import os
 import re
-import time
+import sys
 import urllib.error
 import urllib.parse
 import urllib.request
 import warnings
 import zipfile
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
 from ..functions import accession as A
+from . import codecs
+from .sniff import sniff
 
 Transport = Callable[[str], bytes]
 BATCH = A.BATCH
@@ -30,8 +29,10 @@ BATCH = A.BATCH
 EUTILS = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi"
 DATASETS = "https://api.ncbi.nlm.nih.gov/datasets/v2/genome/accession"
 EMBL = "https://www.ebi.ac.uk/ena/browser/api/embl"
-READS = "https://www.ebi.ac.uk/ena/portal/api/filereport"
-ENDINGS = {"gff3": (".gff3", ".gff"), "genbank": (".gbff", ".gbk", ".gb"), "embl": (".embl",), "fasta": (".fna", ".fasta", ".fa")}
+ENDINGS = {"gff3": (".gff3", ".gff"), "genbank": (".gbff", ".gbk", ".gb", ".genbank"), "embl": (".embl",), "fasta": (".fna", ".fasta", ".fa")}
+DATABASES = {"": "", "auto": "", "protein": "protein", "nuccore": "nuccore", "nucleotide": "nuccore", "sequences": "sequences"}
+NUCLEOTIDE = {"": "", "none": "", "false": "", "first": "first", "true": "first", "all": "all"}
+SOURCES = {"": "refseq", "refseq": "refseq", "insdc": "insdc", "all": "all"}
 ALIASES = {"gb": "genbank", "gbk": "genbank", "gbff": "genbank"}
 
 
@@ -49,9 +50,16 @@ def http_get(url: str) -> bytes:
         raise
 
 
+def _choice(value: str | None, allowed: dict[str, str], what: str) -> str:
+    key = (value or "").strip().lower()
+    if key not in allowed:
+        raise ValueError(f"unsupported {what} {value!r}")
+    return allowed[key]
+
+
 def genome_format(name: str) -> str:
     low = ALIASES.get(name.strip().lower(), name.strip().lower())
-    if low not in ENDINGS:
+    if low not in ENDINGS and low != "auto":
         raise ValueError(f"unknown genome format {name!r}")
     return low
 
@@ -87,18 +95,18 @@ class Plan:
         return [self.accessions[k : k + BATCH] for k in range(0, len(self.accessions), BATCH)]
 
 
-def plan(accessions: list[str], form: str = "fasta", db: str | None = None) -> Plan:
+def plan(accessions: list[str], form: str = "auto", db: str | None = None) -> Plan:
     """Genomes are fetched one at a time by assembly accession, sequences in batches of one database."""
-    own = clean(accessions)
+    own, form, asked = clean(accessions), genome_format(form), _choice(db, DATABASES, "database")
     genomes = [bool(re.match("GC[FA]_", a.upper())) for a in own]
-    if all(genomes) or genome_format(form) != "fasta":
-        if len(own) > 1 or db:
+    if all(genomes) or form not in ("auto", "fasta"):
+        if len(own) > 1 or asked:
             raise ValueError("a genome download takes one accession and no database")
-        return Plan("genome", tuple(own), genome_format(form))
+        return Plan("genome", tuple(own), form)
     if any(genomes):
         raise ValueError("genome and sequence accessions cannot be mixed")
     dbs = {database(a) for a in own}
-    return Plan("sequences", tuple(own), "fasta", db.strip().lower() if db else dbs.pop() if len(dbs) == 1 else "sequences")
+    return Plan("sequences", tuple(own), "fasta", asked or (dbs.pop() if len(dbs) == 1 else "sequences"))
 
 
 def _efetch(get: Transport, key: str | None = None, email: str | None = None, **query) -> bytes:
@@ -149,9 +157,12 @@ def coding_regions(rows: list[dict], source: str = "all", assembly: str = "", ev
     return kept if every else kept[:1]
 
 
-def download(p: Plan, output: str, get: Transport, api_key=None, email=None, nucleotide: str | None = None, source: str = "all", assembly: str = "") -> str:
-    """Fetch what a plan names into a file, which appears only once it is whole."""
+def download(p: Plan, output: str, get: Transport, api_key=None, email=None, nucleotide: str | None = None, source: str = "refseq", assembly: str = "") -> str:
+    """Fetch what a plan names into a file, compressed by its suffix, which appears only once it is whole; - is standard output."""
+    nucleotide, source = _choice(nucleotide, NUCLEOTIDE, "nucleotide mode"), _choice(source, SOURCES, "source")
     if p.kind == "genome":
+        if nucleotide or assembly:
+            raise ValueError("nucleotide mode and assembly are for sequence downloads")
         data = genome(p.accessions[0], p.form, get, api_key, email)
     else:
         parts, own = [], []
@@ -171,13 +182,30 @@ def download(p: Plan, output: str, get: Transport, api_key=None, email=None, nuc
         data = b"".join(x if x.endswith(b"\n") else x + b"\n" for x in parts if x.strip())
     if not data.strip():
         raise NotFound(", ".join(p.accessions))
+    if output == "-":
+        sys.stdout.buffer.write(data)
+        return output
+    if p.kind == "genome":
+        warn_of_extension(output, sniff(data))
     _put(output, data)
     return output
 
 
+def warn_of_extension(path: str, form: str) -> None:
+    """A warning if a file's name, apart from its compression, promises another form than it holds."""
+    stem, last = os.path.splitext(path)
+    end = os.path.splitext(stem)[1] if last.lower() in codecs.SUFFIXES else last
+    named = next((f for f, ends in ENDINGS.items() if end.lower() in ends), form)
+    if named != form:
+        warnings.warn(f"{path} is named like {named} and holds {form}", stacklevel=3)
+
+
 def _put(path: str, data: bytes) -> None:
-    with open(f"{path}.partial", "wb") as f:
-        f.write(data)
+    with open(f"{path}.partial", "wb") as raw:
+        out = codecs.writer(raw, codecs.from_path(path))
+        out.write(data)
+        if out is not raw:
+            out.close()
     os.replace(f"{path}.partial", path)
 
 
@@ -218,70 +246,14 @@ def genome(acc: str, form: str, get: Transport, api_key=None, email=None) -> byt
             raise NotFound(acc)
         return data
     if re.match("GC[FA]_", acc.upper()):
-        kinds = {"fasta": "GENOME_FASTA", "gff3": "GENOME_FASTA,GENOME_GFF", "genbank": "GENOME_FASTA,GENOME_GBFF"}[form]
+        kinds = {"auto": "GENOME_FASTA,GENOME_GFF,GENOME_GBFF", "fasta": "GENOME_FASTA", "gff3": "GENOME_FASTA,GENOME_GFF", "genbank": "GENOME_FASTA,GENOME_GBFF"}[form]
         return best_output(unzip(get(f"{DATASETS}/{urllib.parse.quote(acc)}/download?include_annotation_type={kinds}")), form)
     files = {"fasta": _efetch(get, api_key, email, db="nuccore", id=acc, rettype="fasta", retmode="text")}
     if form == "genbank":
         return _efetch(get, api_key, email, db="nuccore", id=acc, rettype="gbwithparts", retmode="text")
-    if form == "gff3":
+    if form in ("auto", "gff3"):
         try:
             files["gff3"] = _efetch(get, api_key, email, db="nuccore", id=acc, rettype="gff3", retmode="text")
         except NotFound:
             warnings.warn(f"no annotation for {acc}", stacklevel=2)
     return best_output(files, form)
-
-
-# --- reads ------------------------------------------------------------------------------------------
-
-
-def accession_list(text: str | None, file: str | None) -> list[str]:
-    """Runs of a comma list (no blanks between commas), or of a file with one a line (blank lines skipped)."""
-    if file:
-        with open(file) as f:
-            return clean(list(f))
-    parts = (text or "").split(",")
-    if any(not p.strip() for p in parts):
-        raise ValueError("an accession of the list is empty")
-    return clean(parts)
-
-
-def read_files(run: str, get: Transport) -> list[dict]:
-    """filename, url, md5 and bytes of the FASTQ files of a run."""
-    rows = json.loads(get(f"{READS}?{urllib.parse.urlencode({'accession': run, 'result': 'read_run', 'fields': 'fastq_ftp,fastq_md5,fastq_bytes', 'format': 'json'})}") or b"[]")
-    out = []
-    for row in rows:
-        urls, sums, sizes = (str(row.get(f"fastq_{k}") or "").split(";") for k in ("ftp", "md5", "bytes"))
-        for k, url in enumerate(u for u in urls if u):
-            size = sizes[k].strip() if k < len(sizes) else ""
-            out.append({"filename": url.rpartition("/")[2], "url": url if "://" in url else f"https://{url}", "md5": sums[k] if k < len(sums) else "", "bytes": int(size) if size.isdigit() else 0})
-    return out
-
-
-def download_reads(run: str, folder: str, get: Transport, attempts: int = 3, delay: Callable[[int], float] = lambda k: float(k)) -> list[dict]:
-    """Fetch and verify all files of a run; nothing that exists is overwritten."""
-    files = read_files(run, get)
-    if not files:
-        raise NotFound(run)
-    os.makedirs(folder, exist_ok=True)
-    for f in files:
-        path = f["path"] = os.path.join(folder, f["filename"])
-        if not f["md5"]:
-            raise ValueError(f"no checksum for {f['filename']}")
-        if os.path.exists(path):
-            raise FileExistsError(path)
-        for k in range(attempts):
-            try:
-                data = get(f["url"])
-                if hashlib.md5(data).hexdigest() != f["md5"]:
-                    raise ValueError(f"checksum of {f['filename']} is wrong")
-                if path.endswith(".gz"):
-                    zlib.decompressobj(31).decompress(data)
-                _put(path, data)
-                break
-            except (ValueError, OSError, zlib.error):
-                if k + 1 == attempts:
-                    raise
-                time.sleep(delay(k))
-    with open(os.path.join(folder, f"{run}.json"), "w") as out:
-        json.dump(files, out, indent=1)
-    return files

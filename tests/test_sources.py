@@ -1,19 +1,23 @@
 import bz2
 import gzip
+import hashlib
 import io
 import json
 import lzma
+import os
 import struct
 import subprocess
 import sys
+import urllib.parse
 import zipfile
 import zlib
+from dataclasses import replace
 
 import pytest
 import zstandard
 
 from strandframe import cli
-from strandframe.sources import codecs, datasource, formats, remote, sniff
+from strandframe.sources import codecs, datasource, formats, reads, remote, sniff
 from strandframe.streaming import landing
 
 GENBANK = "LOCUS       REC1 8 bp\nDEFINITION  first line\n            second line\nACCESSION   X\nORIGIN\n        1 acgt nn\n//\n"
@@ -166,10 +170,6 @@ def test_downloads(tmp_path):
                 f.writestr("d/x.fna", ">c\nAC\n")
                 f.writestr("d/x.gff", "##gff-version 3\n\n")
             return z.getvalue()
-        if "filereport" in url:
-            import hashlib
-
-            return json.dumps([{"fastq_ftp": "h/r_1.fastq;h/r_2.fastq", "fastq_md5": ";".join([hashlib.md5(b">x\nA\n").hexdigest()] * 2), "fastq_bytes": "5;"}]).encode()
         return b">x\nA\n"
 
     out = str(tmp_path / "o")
@@ -183,15 +183,106 @@ def test_downloads(tmp_path):
     assert "ABCD01000001%2CABCD01000002%2CABCD01000003" in asked[-1]
     remote.download(remote.plan(["GCF_1"], "gff3"), out, get)
     assert (tmp_path / "o").read_bytes() == b"##gff-version 3\n##FASTA\n>c\nAC\n"
-    for bad in (lambda: remote.plan(["GCF_1", "U49845"]), lambda: remote.plan([" "]), lambda: remote.plan(["GCF_1"], "doc"), lambda: remote.accession_list("a,,b", None), lambda: remote.expand("A1", "A10")):
+    for bad in (lambda: remote.plan(["GCF_1", "U49845"]), lambda: remote.plan([" "]), lambda: remote.plan(["GCF_1"], "doc"), lambda: reads.accession_list("a,,b", None), lambda: remote.plan(["X1"], db="genes"), lambda: remote.expand("A1", "A10")):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(remote.NotFound):
         remote.genome("X", "embl", lambda u: b"ERROR: none")
-    files = remote.download_reads("ERR1", str(tmp_path / "r"), get)
-    assert [f["bytes"] for f in files] == [5, 0] and (tmp_path / "r/r_2.fastq").exists()
+    with pytest.warns(UserWarning, match="named like fasta and holds gff3"):
+        remote.download(remote.plan(["GCF_1"]), str(tmp_path / "g.fa.gz"), get)
+    assert gzip.decompress((tmp_path / "g.fa.gz").read_bytes()).startswith(b"##gff-version 3")
+    with pytest.raises(ValueError):
+        remote.download(remote.plan(["WP_1"]), out, get, source="genes")
+
+
+class Runs:
+    """A service of runs with two gzip files each, whose second member is the run's name."""
+
+    def __init__(self, names=("_1.fastq.gz", "_2.fastq.gz"), faults=0):
+        self.names, self.faults, self.pauses = names, faults, []
+
+    def data(self, name):
+        return gzip.compress(b"@x\n" * 5000, mtime=0) + gzip.compress(name.encode(), mtime=0)
+
+    def get(self, url):
+        run = urllib.parse.parse_qs(urllib.parse.urlsplit(url).query)["accession"][0]
+        files = [run + n for n in self.names]
+        row = {"run_accession": run, "fastq_ftp": ";".join(f"h/{f}" for f in files), "fastq_bytes": "9;"}
+        return json.dumps([row | {"fastq_md5": ";".join(hashlib.md5(self.data(f)).hexdigest() for f in files)}]).encode()
+
+    def stream(self, url, stall):
+        data = self.data(url.rpartition("/")[2])
+        if self.faults:
+            self.faults -= 1
+            data = data[:-9]
+        for k in range(0, len(data), 7):
+            yield data[k : k + 7]
+
+    def transports(self):
+        return {"get": self.get, "stream": self.stream, "sleep": self.pauses.append}
+
+
+def test_runs_are_downloaded_checked_and_merged(tmp_path):
+    service, said = Runs(faults=2), []
+    o = reads.Options(str(tmp_path), metadata=True, progress_every=0, log=said.append)
+    first = reads.download_run("ERR1", o, **service.transports())
+    assert len(service.pauses) == 2 and all(5 <= p <= 20 for p in service.pauses)
+    assert sorted(os.listdir(tmp_path)) == ["ERR1_1.fastq.gz", "ERR1_2.fastq.gz", "ERR1_ena_meta.json"]
+    assert [f.bytes for f in first.files] == [9, 0] and any("ERR1_1.fastq.gz: " in s for s in said)
     with pytest.raises(FileExistsError):
-        remote.download_reads("ERR1", str(tmp_path / "r"), get)
+        reads.download_run("ERR1", o, **service.transports())
+    second = reads.download_run("ERR2", replace(o, prefix="p", single_object=True), **service.transports())
+    assert [f.filename for f in second.files] == ["p_1.fastq.gz", "p_2.fastq.gz"]
+    assert json.loads((tmp_path / "p_ena_meta.json").read_text())["run_accession"] == "ERR2"
+    with pytest.raises(ValueError, match="metadata"):
+        reads.merge([first, replace(second, metadata=None)], str(tmp_path))
+    merged = reads.merge([first, second], str(tmp_path), "all")
+    assert sorted(os.listdir(tmp_path)) == ["all_1.fastq.gz", "all_2.fastq.gz", "all_ena_meta.json"]
+    for k, f in enumerate(merged, 1):
+        assert gzip.decompress(open(f.path, "rb").read()) == b"@x\n" * 5000 + f"ERR1_{k}.fastq.gz".encode() + b"@x\n" * 5000 + f"ERR2_{k}.fastq.gz".encode()
+    assert [r["run_accession"] for r in json.loads((tmp_path / "all_ena_meta.json").read_text())] == ["ERR1", "ERR2"]
+    kept = reads.download_all(["ERR3", "ERR4"], replace(o, prefix="q", metadata=False), merged=True, keep=True, **Runs((".fastq.gz",)).transports())
+    assert [r.files[0].filename for r in kept] == ["q_ERR3.fastq.gz", "q_ERR4.fastq.gz"] and os.path.getsize(tmp_path / "q.fastq.gz") == sum(os.path.getsize(r.files[0].path) for r in kept)
+
+
+def test_runs_that_fail(tmp_path):
+    o = reads.Options(str(tmp_path), attempts=2)
+    with pytest.raises(reads.Damaged):
+        reads.download_run("ERR1", o, **Runs(faults=9).transports())
+
+    def stalls(url, stall):
+        yield b"\x1f"
+        raise reads.Stalled(url)
+
+    with pytest.raises(reads.Stalled):
+        reads.download_run("ERR1", o, **(Runs().transports() | {"stream": stalls}))
+    with pytest.raises(ValueError, match="one name"):
+        reads.download_run("ERR1", replace(o, prefix="p"), **Runs(("_1.fastq.gz", "x_1.fastq.gz")).transports())
+    with pytest.raises(remote.NotFound, match="not installed"):
+        reads.download_run("ERR1", replace(o, methods=("sracha",), program="no-such-program"), **Runs().transports())
+    assert os.listdir(tmp_path) == []
+    for bad in ({"attempts": 0}, {"delay": (2, 1)}, {"stall": -1}, {"prefix": "a/b"}, {"methods": ("ftp",)}, {"methods": ()}):
+        with pytest.raises(ValueError):
+            reads.Options(**bad)
+    run = reads.Run("a", "ena", (reads.ReadFile("a.fastq.gz"),))
+    for others in ([run], [run, replace(run, files=run.files * 2)], [run, replace(run, files=(reads.ReadFile("b.fq.gz"),))]):
+        with pytest.raises(ValueError):
+            reads.merge(others, str(tmp_path))
+
+
+def test_runs_by_an_external_program(tmp_path):
+    data = gzip.compress(b"@r\n")
+    (tmp_path / "data.gz").write_bytes(data)
+    program = tmp_path / "tool"
+    program.write_text(f'#!/bin/sh\necho "$@" > {tmp_path}/arguments\nfor n in _0 _1 _2; do cp {tmp_path}/data.gz "$8$n.fastq.gz"; done\n')
+    program.chmod(0o755)
+    o = reads.Options(str(tmp_path / "out"), methods=("ena", "sracha"), attempts=1, program=str(program), threads=3)
+    run = reads.download_run("ERR1", o, **Runs((".fastq.gz", "_1.fastq.gz", "_2.fastq.gz"), faults=1).transports())
+    assert run.method == "sracha" and sorted(os.listdir(tmp_path / "out")) == ["ERR1.fastq.gz", "ERR1_1.fastq.gz", "ERR1_2.fastq.gz"]
+    assert (tmp_path / "arguments").read_text().split() == ["get", "-t", "3", "--connections", "1", "--split", "split-3", "ERR1"]
+    assert reads.split_mode([reads.ReadFile("a.fastq.gz")]) == "split-spot" and reads.split_mode([reads.ReadFile("a_1.fq")]) == "split-files"
+    assert [reads.suffix(n, 1, 2) for n in ("a.1.FASTQ.GZ", "a.fq", "a_7.tar")] == ["_1.FASTQ.GZ", "_2.fq", "_7.tar"]
+    assert [reads.human_bytes(n) for n in (1023, 1024, 3 << 29, 5 << 50)] == ["1023 B", "1.0 KiB", "1.5 GiB", "5120.0 TiB"]
 
 
 def test_package_runs_as_a_module():
