@@ -89,16 +89,25 @@ def _times(a: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(potential: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Posteriors of sequences (row, place, language); with the expected transitions if asked."""
+def forward_backward(potential: np.ndarray, transitions: np.ndarray, pairs: bool = False, inside: np.ndarray | None = None):
+    """Posteriors of sequences (row, place, language); with the expected transitions if asked.
+
+    inside (row, place): where a row's sequence is; it starts and ends there, whatever stands beside it.
+    """
     n, steps, k = potential.shape
+    beyond = np.zeros((steps, n), bool) if inside is None else np.ascontiguousarray(~inside.T)
+    edge = beyond.any(1)
     e = np.exp(potential - potential.max(2, keepdims=True))
     t = np.exp(transitions - transitions.max())
     alpha = np.empty((steps, n, k), e.dtype)
     beta = np.empty((steps, n, k), e.dtype)
     a = np.full((n, k), 1 / k, e.dtype)
     for s in range(steps):
-        a = (_times(a, t) if s else a) * e[:, s]
+        if s:
+            a = _times(a, t)
+            if edge[s - 1]:
+                a[beyond[s - 1]] = 1 / k
+        a = a * e[:, s]
         a /= a.sum(1, keepdims=True)
         alpha[s] = a
     b = np.full((n, k), 1 / k, e.dtype)
@@ -112,6 +121,8 @@ def forward_backward(potential: np.ndarray, transitions: np.ndarray, pairs: bool
                 counts += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             b = _times(eb, t.T)
             b /= b.sum(1, keepdims=True)
+            if edge[s]:
+                b[beyond[s]] = 1 / k
     post = alpha * beta
     post /= post.sum(2, keepdims=True)
     return (post.transpose(1, 0, 2), counts) if pairs else post.transpose(1, 0, 2)
@@ -225,7 +236,7 @@ class Labeller:
             if not inside[part].any():
                 continue
             e = np.where(inside[part][..., None], self.table[place[at[part]]], np.float32(0))
-            own = forward_backward(e, self.model.transitions.astype(np.float32))
+            own = forward_backward(e, self.model.transitions.astype(np.float32), inside=inside[part])
             core = np.zeros_like(inside[part])
             core[:, CONTEXT : CONTEXT + CORE] = inside[part][:, CONTEXT : CONTEXT + CORE]
             post[at[part][core]] = own[core]
