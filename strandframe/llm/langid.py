@@ -18,7 +18,9 @@ Columns other than id, text and language are ignored. An empty table gives no ro
 from __future__ import annotations
 
 import random
+import sys
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ SAMPLE_DOCS, STRETCHES = 2000, 8000
 BUCKETS = 1 << 16
 #: Words labelled by a window, and words of context on each side of them.
 CORE, CONTEXT = 96, 16
-#: Words of a task's lookup table before it starts anew.
-KNOWN = 200_000
 
 
 @dataclass
@@ -53,6 +53,19 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool)
+
+
+def letters_of(words: list[str]) -> list[str]:
+    """`letters` of many words without blanks, by one pass over their code points."""
+    if not words:
+        return []
+    points = np.frombuffer("\n".join(words).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points[_is_letter()[points] | (points == 10)].tobytes().decode("utf-32-le", "surrogatepass").split("\n")
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word index) of every affix and n-gram of two to four characters; marks stand at both ends."""
     line = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -75,9 +88,9 @@ def potentials(model: Model, words: list[str]) -> np.ndarray:
     if len(some):
         bucket, owner = features([words[i] for i in some])
         order = np.argsort(owner, kind="stable")
-        own = model.weights[bucket[order]]
-        starts = np.searchsorted(owner[order], np.arange(len(some)))
-        out[some] += np.add.reduceat(own, starts, axis=0)
+        bucket, starts = bucket[order], np.searchsorted(owner[order], np.arange(len(some)))
+        for k in range(out.shape[1]):
+            out[some, k] += np.add.reduceat(np.ascontiguousarray(model.weights[:, k])[bucket], starts)
     return out
 
 
@@ -186,41 +199,29 @@ def train(samples: list[tuple[str, str]], steps: int = 60, length: int = 32, see
 
 
 class Labeller:
-    """Looks up words of a task in a table of potentials that is computed once for each distinct word."""
+    """Labels the words of some texts at once; potentials are computed once for each distinct word among them."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.reset()
-
-    def reset(self):
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.lettered = np.zeros(1024, bool)
-
-    def places(self, words: list[str]) -> np.ndarray:
-        index = self.index
-        new = list({w for w in words if w not in index})
-        if len(index) + len(new) > KNOWN and index:
-            self.reset()
-            index = self.index
-            new = list(set(words))
-        if new:
-            n, total = len(index), len(index) + len(new)
-            if total > len(self.table):
-                size = max(total, 2 * len(self.table))
-                self.table = np.concatenate([self.table, np.zeros((size - len(self.table), self.table.shape[1]), np.float32)])
-                self.lettered = np.concatenate([self.lettered, np.zeros(size - len(self.lettered), bool)])
-            clean = [letters(w) for w in new]
-            self.table[n:total] = potentials(self.model, clean)
-            self.lettered[n:total] = [bool(w) for w in clean]
-            index |= zip(new, range(n, total), strict=True)
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each word, potentials of each row, whether the row has letters)."""
+
+        def distinct(ws):
+            found = pa.array(ws, pa.string()).dictionary_encode()
+            return found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+        row, raw = distinct(words)
+        clean_row, clean = distinct(letters_of(raw))
+        return clean_row[row], potentials(self.model, clean), np.fromiter(map(bool, clean), bool, len(clean))
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(posteriors of the words of the text, whether each has letters)."""
         words = [(t or "").split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        place = self.places([w for ws in words for w in ws])
+        if not sizes.any():
+            return [(np.empty((0, len(self.model.langs)), np.float32), np.empty(0, bool))] * len(texts)
+        place, table, has_letters = self.table([w for ws in words for w in ws])
         begin = np.cumsum(sizes) - sizes
         windows = -(-sizes // CORE)
         doc = np.repeat(np.arange(len(words)), windows)
@@ -229,13 +230,13 @@ class Labeller:
         offset = k[:, None] * CORE + np.arange(-CONTEXT, CORE + CONTEXT)
         inside = (offset >= 0) & (offset < sizes[doc][:, None])
         at = np.where(inside, begin[doc][:, None] + offset, 0)
-        lettered = self.lettered[place]
+        lettered = has_letters[place]
         post = np.empty((len(place), len(self.model.langs)), np.float32)
         for lo in range(0, len(doc), 4096):
             part = slice(lo, lo + 4096)
             if not inside[part].any():
                 continue
-            e = np.where(inside[part][..., None], self.table[place[at[part]]], np.float32(0))
+            e = np.where(inside[part][..., None], table[place[at[part]]], np.float32(0))
             own = forward_backward(e, self.model.transitions.astype(np.float32), inside=inside[part])
             core = np.zeros_like(inside[part])
             core[:, CONTEXT : CONTEXT + CORE] = inside[part][:, CONTEXT : CONTEXT + CORE]
