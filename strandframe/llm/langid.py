@@ -95,50 +95,52 @@ def potentials(model: Model, words: list[str]) -> np.ndarray:
 
 
 def _times(a: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """a @ t by columns: a row's result does not depend on the rows around it."""
-    out = a[:, :1] * t[0]
+    """t.T @ a by rows: a column's result does not depend on the columns around it."""
+    out = t[0][:, None] * a[0]
     for k in range(1, len(t)):
-        out += a[:, k : k + 1] * t[k]
+        out += t[k][:, None] * a[k]
     return out
 
 
 def forward_backward(potential: np.ndarray, transitions: np.ndarray, pairs: bool = False, inside: np.ndarray | None = None):
     """Posteriors of sequences (row, place, language); with the expected transitions if asked.
 
-    inside (row, place): where a row's sequence is; it starts and ends there, whatever stands beside it.
+    inside (row, place): where a row's sequence is; it starts and ends there, whatever stands beside it. Inside, arrays run
+    along the rows, so that every step works on long stretches of memory.
     """
     n, steps, k = potential.shape
     beyond = np.zeros((steps, n), bool) if inside is None else np.ascontiguousarray(~inside.T)
     edge = beyond.any(1)
-    e = np.exp(potential - potential.max(2, keepdims=True))
+    e = np.ascontiguousarray(potential.transpose(1, 2, 0))
+    e = np.exp(e - e.max(1, keepdims=True))
     t = np.exp(transitions - transitions.max())
-    alpha = np.empty((steps, n, k), e.dtype)
-    beta = np.empty((steps, n, k), e.dtype)
-    a = np.full((n, k), 1 / k, e.dtype)
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    a = np.full((k, n), 1 / k, e.dtype)
     for s in range(steps):
         if s:
             a = _times(a, t)
             if edge[s - 1]:
-                a[beyond[s - 1]] = 1 / k
-        a = a * e[:, s]
-        a /= a.sum(1, keepdims=True)
+                a[:, beyond[s - 1]] = 1 / k
+        a = a * e[s]
+        a /= a.sum(0)
         alpha[s] = a
-    b = np.full((n, k), 1 / k, e.dtype)
+    b = np.full((k, n), 1 / k, e.dtype)
     counts = np.zeros((k, k))
     for s in range(steps - 1, -1, -1):
         beta[s] = b
         if s:
-            eb = e[:, s] * b
+            eb = e[s] * b
             if pairs:
-                joint = alpha[s - 1][:, :, None] * t * eb[:, None, :]
-                counts += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                joint = alpha[s - 1][:, None] * t[:, :, None] * eb
+                counts += (joint / joint.sum((0, 1))).sum(2)
             b = _times(eb, t.T)
-            b /= b.sum(1, keepdims=True)
+            b /= b.sum(0)
             if edge[s]:
-                b[beyond[s]] = 1 / k
+                b[:, beyond[s]] = 1 / k
     post = alpha * beta
-    post /= post.sum(2, keepdims=True)
-    return (post.transpose(1, 0, 2), counts) if pairs else post.transpose(1, 0, 2)
+    post /= post.sum(1, keepdims=True)
+    post = np.ascontiguousarray(post.transpose(2, 0, 1))
+    return (post, counts) if pairs else post
 
 
 def train(samples: list[tuple[str, str]], steps: int = 60, length: int = 32, seed: int = 11) -> Model:
