@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -85,21 +86,40 @@ def range_from_locus(locus: Column, n: Column) -> tuple[Column, Column]:
     return F.when(ok, number(F.lit(1))), F.when(ok, number(n))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def expand_range(first: Column, last: Column) -> Column:
     """All accessions from first to last; an error unless both differ in digits of equal width only."""
-    a, b, tail = core(first), core(last), version(first)
-    na, nb = F.length(a), F.length(b)
-    places = F.sequence(F.lit(1), F.greatest(F.least(na, nb), F.lit(1)))
-    same = F.size(F.filter(places, lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
-    same = F.when(F.least(na, nb) > 0, same).otherwise(0)
-    equal = a == b
-    prefix = F.when(equal, F.regexp_replace(a, "[0-9]+$", "")).otherwise(F.substring(a, F.lit(1), same))
-    low, high = (F.substring(x, F.length(prefix) + 1, F.lit(1 << 30)) for x in (a, b))
-    ok = (tail == version(last)) & low.rlike("^[0-9]{1,18}$") & high.rlike("^[0-9]{1,18}$") & (F.length(low) == F.length(high))
-    numbers = F.when(low.try_cast("long") <= high.try_cast("long"), F.sequence(low.try_cast("long"), F.greatest(high.try_cast("long"), low.try_cast("long"))))
-    named = F.transform(F.coalesce(numbers, F.array().cast("array<bigint>")), lambda n: F.concat(prefix, F.lpad(n.cast("string"), F.length(low), "0"), tail))
-    wrong = F.raise_error(F.concat(F.lit("cannot expand component accession range "), first, F.lit("-"), last)).cast("array<string>")
-    return F.when(ok, named).otherwise(wrong)
+
+    def split(s: Column) -> Column:  # the prefix that both share, and what follows it
+        a, b = s["a"], s["b"]
+        shorter = F.least(F.length(a), F.length(b))
+        places = F.sequence(F.lit(1), F.greatest(shorter, F.lit(1)))
+        same = F.when(shorter > 0, F.size(F.filter(places, lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))).otherwise(0)
+        prefix = F.when(a == b, F.regexp_replace(a, "[0-9]+$", "")).otherwise(F.substring(a, F.lit(1), same))
+        return _let(prefix, lambda p: F.struct(p.alias("prefix"), *(F.substring(x, F.length(p) + 1, F.lit(1 << 30)).alias(n) for n, x in (("low", a), ("high", b))), s["tail"].alias("tail"), s["end"].alias("end")))
+
+    def names(s: Column) -> Column:
+        low, high = s["low"].try_cast("long"), s["high"].try_cast("long")
+        numbers = F.when(low <= high, F.sequence(low, F.greatest(high, low)))
+        named = _let(F.length(s["low"]), lambda width: F.transform(F.coalesce(numbers, F.array().cast("array<bigint>")), lambda n: F.concat(s["prefix"], F.lpad(n.cast("string"), width, "0"), s["tail"])))
+        ok = (s["tail"] == s["end"]) & s["low"].rlike("^[0-9]{1,18}$") & s["high"].rlike("^[0-9]{1,18}$") & (F.length(s["low"]) == F.length(s["high"]))
+        wrong = F.raise_error(F.concat(F.lit("cannot expand component accession range "), first, F.lit("-"), last)).cast("array<string>")
+        return F.when(ok, named).otherwise(wrong)
+
+    both = F.struct(core(first).alias("a"), core(last).alias("b"), version(first).alias("tail"), version(last).alias("end"))
+    return _let(_let(both, split), names)
+
+
+def same_width(low: Column, high: Column, width: int) -> Column:
+    """The numbers low to high, not negative, as stretches (first, last) of equally many digits when padded with zeros to a width."""
+    digits = lambda n: F.greatest(F.length(n.cast("string")), F.lit(width))
+    most = lambda d: F.repeat(F.lit("9"), d).cast("long")
+    stretch = lambda d: F.struct(F.when(d > width, F.greatest(low, most(d - 1) + 1)).otherwise(low).alias("first"), F.least(high, most(d)).alias("last"))
+    return F.when(low <= high, F.transform(F.sequence(digits(low), digits(high)), stretch))
 
 
 def batch_of(row: Column, size: int = BATCH) -> Column:

@@ -401,9 +401,12 @@ def accession_databases(spark, sf_dir):
 
 @query("accession_ranges", "SELECT p_partkey, printf('AB%06d.1', n) AS accession, n - p_partkey AS k, (n - p_partkey) // 10 AS batch FROM (SELECT p_partkey, unnest(range(p_partkey, p_partkey + p_size + 1)) AS n FROM part)")
 def accession_ranges(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    """Ranges that pass from six digits to seven are expanded in two stretches."""
+    part = storage.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     name = lambda c: F.format_string("AB%06d.1", c)
-    rows = part.select("p_partkey", F.posexplode(ACC.expand_range(name(F.col("p_partkey")), name(F.col("p_partkey") + F.col("p_size")))).alias("k", "accession"))
+    stretches = ACC.same_width(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"), 6)
+    names = F.flatten(F.transform(stretches, lambda s: ACC.expand_range(name(s["first"]), name(s["last"]))))
+    rows = part.select("p_partkey", F.posexplode(names).alias("k", "accession"))
     return rows.select("p_partkey", "accession", F.col("k").cast("long").alias("k"), ACC.batch_of(F.col("k") + 1, 10).alias("batch"))
 
 
