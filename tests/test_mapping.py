@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandframe.operators import align as A
@@ -191,3 +193,31 @@ def test_global_reaches_both_ends():
         q, ref = ("".join(r.choices("ACG", k=r.randint(0, 14))) for _ in range(2))
         got = A.global_align(*(np.frombuffer(x.encode(), np.uint8) for x in (q, ref)), o)
         assert got.ops.count("M") + got.ops.count("D") == len(q) and got.ops.count("M") + got.ops.count("I") == len(ref)
+
+
+@pytest.mark.parametrize("o", [{}, {"xdrop": 3}, {"xdrop": 0, "band": 0}, {"band": 4}, {"scoring": A.Scoring(5, -3, -6, -1), "xdrop": 12, "band": 9}])
+def test_windows_aligned_at_once_equal_single_ones(o):
+    """Windows of many sizes, with changes, gaps and letters beyond ASCII; those left out stay empty."""
+    rng, o = random.Random(5), A.AlignOptions(**o)
+    pairs = []
+    for _ in range(150):
+        q = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 90)))
+        near = "".join(c if rng.random() > 0.1 else rng.choice(["", "A", "CG", "T"]) for c in q)
+        pairs.append((q, rng.choice(["GATT", "é", "A"]) + rng.choice([near, q[::-1]]) + rng.choice(["", "è", "TTACA"])))
+    got = A.align_windows(pa.array([q for q, _ in pairs]), pa.array([r for _, r in pairs]), np.arange(1, 150), o)
+    for i, (q, r) in enumerate(pairs):
+        want = A.align_window(q, r, [], 0, False, o)
+        assert {k: v[i] for k, v in got.items()} == (want if i else {k: type(v)() for k, v in want.items()})
+    assert A.align_windows(pa.array(["A"]), pa.array(["A"]), np.arange(0), o)["cigar"].tolist() == [""]
+    with pytest.raises(ValueError):
+        A.align_windows(pa.array(["A", ""]), pa.array(["A", "A"]), np.arange(2), o)
+
+
+def test_many_windows_without_seeds():
+    """100,000 short windows take a few seconds of one core."""
+    rng = random.Random(9)
+    own = ["".join(rng.choice("ACGT") for _ in range(rng.randint(12, 24))) for _ in range(100_000)]
+    began = time.process_time()
+    got = A.align_windows(pa.array(own), pa.array([f"NNNN{x}NN" for x in own]), np.arange(len(own)), A.AlignOptions())
+    assert time.process_time() - began < 20
+    assert got["cigar"].tolist() == [f"{len(x)}M" for x in own] and set(got["ref_start"]) == {4}
