@@ -209,16 +209,18 @@ def forest(batches):
         yield pd.DataFrame({"u": u, "v": v})
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, str]:
+def components(edges: DataFrame, contract: bool = True) -> tuple[DataFrame, str]:
     """(node, root) for every node of edges(u, v) that is not its own root; root is the smallest id reachable.
 
+    Links are contracted inside tasks first. Edges from a Python stage come through `forest` there already (contract=False): two such
+    stages in one task would keep two Python workers for each core, and these live on with all that they hold.
     Alternating large-star and small-star steps. Minima are taken by partial aggregation, and the table
     of minima is written before it is joined, so that both sides of the join are plain exchanges that
     adaptive execution splits when one hub has most of the links. Only a count and a checksum reach
     the driver.
     """
     spark = edges.sparkSession
-    pairs, uri = save(edges.select("u", "v").where("u <> v").mapInPandas(forest, "u long, v long"), "links")
+    pairs, uri = save(edges.select("u", "v").where("u <> v").mapInPandas(forest, "u long, v long") if contract else edges.select("u", "v"), "links")
 
     def state(df):
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

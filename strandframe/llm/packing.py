@@ -86,18 +86,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, keep_ids: bool = Fals
     return common.id_text(docs, id_col, text_col).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
-def widened(rows: DataFrame) -> DataFrame:
-    """The same rows with ids in 32 bits each."""
+def settled(rows: DataFrame, capacity: int, uri: str) -> DataFrame:
+    """Rows of `pieces` with their number in row, ids in 32 bits each, and the place that the list of `by_part` has for them; no row moves."""
 
     def run(batches):
+        common.resident("settled", lambda: None)  # no more need of the tokenizer
+        place = common.listed(uri, "place")
         for batch in common.slices(batches, "ids"):
-            at, size = batch.schema.get_field_index("ids"), batch.column("length").to_pylist()
-            ids = [v if len(v) == 4 * n else np.frombuffer(v, "<u2").astype("<u4").tobytes() for v, n in zip(batch.column(at).to_pylist(), size, strict=True)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(ids, pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            size = batch.column("length").to_pylist()
+            ids = [v if len(v) == 4 * n else np.frombuffer(v, "<u2").astype("<u4").tobytes() for v, n in zip(batch.column("ids").to_pylist(), size, strict=True)]
+            known, at = place(batch.column("row").to_numpy())
+            if not known.all():
+                raise ValueError("pieces without a place")
+            seq, offset = np.divmod(at, capacity)
+            yield common.record_batch(**{n: batch.column(n) for n in names}, ids=pa.array(ids, pa.binary()), sequence_id=seq, offset=offset)
 
-    return rows.mapInArrow(run, rows.schema)
+    names = [n for n in rows.columns if n not in ("row", "ids")]
+    return rows.mapInArrow(run, f"{PIECES}, ids binary, sequence_id long, offset long")
 
 
 # --- supersteps -------------------------------------------------------------------------------------
@@ -233,10 +238,11 @@ def best_fit(rows: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece of every document with its sequence and place there. Ids, if asked for, are moved once, to their placed rows."""
+    """Every piece of every document with its sequence and place there. Ids, if asked for, stay where they are and get their place by number."""
     own = pieces(docs, tokenizer, capacity, keep_ids, id_col, text_col)
     if not keep_ids:
         return best_fit(common.save(own, "pieces")[0], capacity)
     staged, _ = common.save(own.withColumn("row", F.monotonically_increasing_id()), "pieces", "zstd")
-    placed, _ = common.save(best_fit(staged.drop("ids"), capacity), "placed")
-    return widened(placed.join(staged.select("row", "ids"), "row").select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"))
+    place = F.col("sequence_id") * capacity + F.col("offset")  # both in one number, as offsets are below the capacity
+    places = common.by_part(best_fit(staged.drop("ids"), capacity).select(F.col("row").alias("node"), place.alias("place")), "placed", "place")
+    return settled(staged, capacity, places)

@@ -205,8 +205,8 @@ def linked(prints: DataFrame, radius: int = 4) -> tuple[DataFrame, str]:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
     )
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda b: _cells(b, radius), "u long, v long")
-    roots, roots_uri = common.components(links)
+    links = cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(lambda b: common.forest(_cells(b, radius)), "u long, v long")
+    roots, roots_uri = common.components(links, contract=False)
     classes, classes_uri = common.save(reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
     common.drop(spark, reps_uri, routed_uri, hot_uri, roots_uri)
     return classes, classes_uri

@@ -163,6 +163,18 @@ def test_pack_documents(spark):
     assert len(seqs) == len(best_fit_decreasing([g["length"] for g in got], 64))
 
 
+def test_ids_get_their_places_without_a_shuffle(spark):
+    df = spark.createDataFrame([(k, f"alpha beta {k}") for k in range(50)], "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, BYTE, 64, keep_ids=True)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ids#" in plan and not any(node in plan for node in ("Exchange", "Sort", "Join"))
+    assert sorted(r["doc_id"] for r in rows.collect()) == list(range(50))
+
+
+def test_empty_table_with_ids(spark):
+    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), BYTE, keep_ids=True).collect() == []
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), BYTE).collect() == []
 

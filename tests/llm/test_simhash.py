@@ -81,6 +81,21 @@ def test_components_match_brute_force(spark, monkeypatch, rows, mean):
     assert got == sorted((str(row[0]), fp, str(c)) for row, fp, c in zip(rows, fps, want, strict=True))
 
 
+def test_no_task_needs_two_python_workers(spark, monkeypatch):
+    plans, save = [], common.save
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, *args)
+
+    monkeypatch.setattr(common, "save", noted)
+    monkeypatch.setitem(common.components.__globals__, "save", noted)
+    texts = ["a b c d e f", "a b c d e f", "g h i j k l"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["component"] for r in simhash.near_duplicates(df).collect()) == [0, 0, 2]
+    assert max(p.count("MapInPandas") + p.count("MapInArrow") for p in plans) == 1
+
+
 def test_ids_at_the_ends_of_their_range(spark):
     ids = [-(1 << 63), 1 << 62, (1 << 62) + 5, (1 << 63) - 1, 7, None]
     texts = ["a b c d e f", "g h i j k l", "g h i j k l", "m n o p q", "g h i j k l", "a b c d e f"]
