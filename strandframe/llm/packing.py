@@ -10,7 +10,8 @@
    go to the next range for the following superstep. Once nothing but documents without any gap is left, as many new
    sequences are opened as their lengths need at least. Longer documents are settled before the next band of lengths
    begins. The driver sees counts only.
-3. Placing: every row finds its place by its rank in the table of placed runs, in parallel, without a shuffle.
+3. Placing: every row finds its place by its rank in the table of placed runs, in parallel, without a shuffle. Ids, if asked
+   for, stay in the order of the documents; the places are dealt to them by number, part for part.
 
 On all length distributions tried the number of sequences equals that of best-fit decreasing.
 
